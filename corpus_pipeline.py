@@ -1,4 +1,8 @@
-"""A corpus pipeline of the operators in prismora.llm: stages of (spark, docs, sf_dir) -> DataFrame."""
+"""A corpus pipeline of the operators in prismora.llm: stages of (spark, docs, sf_dir) -> DataFrame.
+
+All stages but the last return the columns of the documents they get. A row stands for itself: rows with a null id
+pass the filters that go by id, and repeated rows share their id's fate.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismora.llm import packing, quality
+from prismora.llm import decontaminate, jaccard, packing, quality, substrings
 from prismora.llm.common import id_crc, shared_dir
 from prismora.llm.queries import TOKENIZER
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in the first column of ids."""
+    gone = ids.select(ids[ids.columns[0]].alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.classify(docs, labels, id_crc(F.col("doc_id")) % 3 != 1)
-    rejected = scored.where("score < 0.5").select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti")
+    return _without(docs, scored.where("score < 0.5").select("doc_id"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one of the smallest doc_id stays."""
+    found = jaccard.jaccard_components(docs)
+    return _without(docs, found.where("component_id <> doc_id").select("doc_id"))
+
+
+def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out of the later ones; a document that keeps no word goes."""
+    found = substrings.near_duplicate_passages(docs)
+    emptied = F.col("text").isNull() & F.col("__had")
+    had = docs.select("*", F.col("text").isNotNull().alias("__had"))
+    left = substrings.cut_passages(had, found).where(~emptied).drop("__had")
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.select("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +55,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("quality_classifier", quality_stage), ("best_fit_packing", packing_stage)]
+STAGES = [("quality_classifier", quality_stage), ("ngram_jaccard_join", near_duplicates_stage), ("substring_dedup", substrings_stage), ("benchmark_decontamination", decontamination_stage), ("best_fit_packing", packing_stage)]
 
-#: No stage but the joins can be put in SQL: boosted trees, alignments and tokens of a BPE model can't.
+#: SQL can't express the stages: boosted trees, alignments, and the tokens of a BPE model.
 ORACLE_SQL = None
 
 

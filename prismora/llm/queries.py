@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing, quality, tiff, token_counts, warc
+from . import decontaminate, jaccard, packing, quality, substrings, tiff, token_counts, warc
 from .common import documents, id_crc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.near_duplicate_passages(documents(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER)
 
@@ -48,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op2_jaccard_join, op5_warc, op8_token_counts, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_tiff_pages, op2_jaccard_join, op5_warc, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
