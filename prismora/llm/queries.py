@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, substrings, tiff, token_counts, warc
+from . import decontaminate, jaccard, lm, packing, quality, quotes, substrings, tiff, token_counts, warc
 from .common import documents, id_crc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_texts(documents(spark, sf_dir), id_crc(F.col("doc_id")) % 10 != 0)
+    return scored.select("doc_id", (id_crc(F.col("doc_id")) % 10 == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
@@ -56,8 +65,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op2_jaccard_join, op5_warc, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_tiff_pages, op2_jaccard_join, op3_lm_scoring, op4_quotation_linking, op5_warc, op6_substring_dedup, op7_decontamination, op8_token_counts, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quotation_linking": quotes.SQL}
