@@ -44,7 +44,7 @@ def _members(data: bytes) -> Iterator[Iterator[bytes]]:
             if not (part := data[at : at + CHUNK]):
                 raise ValueError("the archive ends inside a member")
             at += len(part)
-            while part:
+            while part and not d.eof:
                 yield d.decompress(part, CHUNK)
                 part = d.unconsumed_tail
         at -= len(d.unused_data)
