@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .suites import measure, pixel
+from .suites import masks, measure, pixel, records
 
-SUITES = (pixel.S, measure.S)
+SUITES = (measure.S, pixel.S, masks.S, records.S)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
