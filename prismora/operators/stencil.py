@@ -1,67 +1,83 @@
 """Neighbourhood operators on frames kept as one array a row.
 
-A row's neighbours above and below come by lag and lead over its photo, those to the left and right are
-elements of the arrays; nothing is joined and everything runs in generated code.
+A frame is cut into strips of rows; a row goes to its strip and, as a halo, to those whose windows reach it. A strip is
+one group of one task, so a frame of any size is spread over many, and numpy works on whole strips.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-REFLECT, REPLICATE = "reflect", "replicate"
-
-
-def with_rows(df: DataFrame, radius: int, edge: str | None, columns: tuple[str, ...] = ("px",), height: int | None = None) -> DataFrame:
-    """height: of the frame, where df has only some of its rows. Adds, for each column c and dy in -radius..radius, c__k with k = dy + radius: the row dy below; outside the frame the edge rule's row, or null without a rule. Adds height, too."""
-    w = Window.partitionBy("photo").orderBy("y")
-    out = df.withColumn("height", F.lit(height) if height else F.count("*").over(Window.partitionBy("photo")).cast("int"))
-    y, h = F.col("y"), F.col("height")
-    for c in columns:
-        for dy in range(-radius, radius + 1):
-            shift = lambda k, c=c: F.col(c) if k == 0 else (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(w)
-            value = shift(dy)
-            if edge == REPLICATE:
-                for k in range(abs(dy) - 1, -1, -1):
-                    value = F.coalesce(value, shift(k if dy > 0 else -k))
-            elif edge == REFLECT and dy:
-                # row -d is row d; row h - 1 + d is row h - 1 - d
-                for d in range(1, abs(dy) + 1):
-                    inside = abs(dy) - d  # the centre is this many rows from the edge
-                    mirrored = shift(d - inside) if dy < 0 else shift(inside - d)
-                    at_edge = y == inside if dy < 0 else h - 1 - y == inside
-                    value = F.when(at_edge, mirrored).otherwise(value)
-            out = out.withColumn(f"{c}__{dy + radius}", value)
-    return out
+#: Edge rules: mirrored without repeating the edge, repeated, and missing (NaN).
+REFLECT, REPLICATE, MISSING = "reflect", "edge", "constant"
+#: Rows of a strip without its halo.
+STRIP = 256
+Kernel = Callable[[dict[str, np.ndarray], int, int], dict[str, np.ndarray]]
+
+
+def per_strip(rows: DataFrame, columns: tuple[str, ...], radius: int, edge: str, kernel: Kernel, out: dict[str, str], height: int, strip: int = STRIP) -> DataFrame:
+    """(photo, y, an array for each of out): kernel(padded planes, first row, height of the strip) for each strip.
+
+    Planes have radius more rows and columns on every side, by the edge rule at the frame's borders and from neighbouring rows
+    elsewhere. height is the frame's, so rows may be a band of it; the band's outer halo comes out as missing rows do: not at all.
+    """
+    reach = F.sequence(F.floor(F.greatest(F.col("y") - radius, F.lit(0)) / strip).cast("int"), F.floor(F.least(F.col("y") + radius, F.lit(height - 1)) / strip).cast("int"))
+    dealt = rows.select("photo", "y", *columns, F.explode(reach).alias("__strip"))
+    kinds = {"int": pa.int32(), "double": pa.float64()}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("y")
+        y = table.column("y").to_numpy()
+        top, bottom = int(y[0]) == 0, int(y[-1]) == height - 1
+        pad = ((radius if top else 0, radius if bottom else 0), (radius, radius))
+        planes = {}
+        for c in columns:
+            plane = np.array([np.asarray(v.values) for v in table.column(c)])
+            if edge == MISSING:
+                planes[c] = np.pad(plane.astype(float), pad, "constant", constant_values=np.nan)
+            else:
+                planes[c] = np.pad(plane, pad, edge)
+        first = 0 if top else int(y[0]) + radius
+        n = next(iter(planes.values())).shape[0] - 2 * radius
+        made = kernel(planes, first, n)
+        own = [k for k in range(n) if (first + k) // strip == key[1].as_py()]
+        columns_out = [pa.array([key[0].as_py()] * len(own), pa.int64()), pa.array([first + k for k in own], pa.int32())]
+        for name, kind in out.items():
+            plane = made[name][own]
+            columns_out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * plane.shape[1], pa.int32()), pa.array(plane.ravel(), kinds[kind])))
+        return pa.table(columns_out, ["photo", "y", *out])
+
+    return dealt.groupBy("photo", "__strip").applyInArrow(run, "photo long, y int, " + ", ".join(f"{n} array<{k}>" for n, k in out.items()))
+
+
+def pixels(rows: DataFrame) -> DataFrame:
+    """(photo, y, x, r, g, b) of rows with those arrays."""
+    return rows.select("photo", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "c")).select("photo", "y", "x", "c.r", "c.g", "c.b")
+
+
+def _tap(plane: np.ndarray, radius: int, dy: int, dx: int) -> np.ndarray:
+    h, w = plane.shape
+    return plane[radius + dy : h - radius + dy, radius + dx : w - radius + dx]
 
 
-def at(row: str, i: Column, dx: int, width: Column, edge: str | None) -> Column:
-    """The element dx to the right of i; outside the row by the edge rule, or null."""
-    j = i + dx
-    if edge == REPLICATE:
-        j = F.greatest(F.lit(0), F.least(width - 1, j))
-    elif edge == REFLECT:
-        j = F.abs(j)
-        j = F.when(j >= width, 2 * (width - 1) - j).otherwise(j)
-    else:
-        return F.when((j >= 0) & (j < width), F.get(row, j))
-    return F.get(row, j)
+def _site(first: int, h: int, w: int, dy: int = 0, dx: int = 0) -> np.ndarray:
+    """The channel of each mosaic site, of RGGB, dy and dx away."""
+    return (np.arange(first + dy, first + dy + h)[:, None] % 2) + (np.arange(dx, dx + w)[None, :] % 2)
 
 
-def per_pixel(df: DataFrame, column: str, value: Callable[[Column], Column], over: str = "px") -> DataFrame:
-    """column: an array with value(i) for each place i of the row."""
-    return df.withColumn(column, F.transform(F.sequence(F.lit(0), F.size(over) - 1), value))
+RGB = {"r": "double", "g": "double", "b": "double"}
 
 
-def malvar(rows: DataFrame, height: int | None = None) -> DataFrame:
-    """(photo, y, r, g, b): Malvar-He-Cutler demosaicing of an RGGB mosaic in px, edges reflected. Five rows, 13 taps."""
-    df = with_rows(rows, 2, REFLECT, height=height)
-    width, y = F.size("px"), F.col("y")
+def malvar(rows: DataFrame, column: str = "px", height: int = 32) -> DataFrame:
+    """(photo, y, r, g, b): Malvar-He-Cutler demosaicing of an RGGB mosaic, edges mirrored; 13 taps."""
 
-    def rgb(i: Column) -> Column:
-        t = lambda dy, dx: at(f"px__{dy + 2}", i, dx, width, REFLECT)
+    def kernel(planes: dict[str, np.ndarray], first: int, n: int) -> dict[str, np.ndarray]:
+        t = lambda dy, dx: _tap(planes[column], 2, dy, dx).astype(float)
         c, h, v = t(0, 0), t(0, -1) + t(0, 1), t(-1, 0) + t(1, 0)
         far_h, far_v = t(0, -2) + t(0, 2), t(-2, 0) + t(2, 0)
         diagonal = t(-1, -1) + t(-1, 1) + t(1, -1) + t(1, 1)
@@ -69,66 +85,60 @@ def malvar(rows: DataFrame, height: int | None = None) -> DataFrame:
         other = (6 * c + 2 * diagonal - 1.5 * (far_h + far_v)) / 8
         across = (5 * c + 4 * h - diagonal - far_h + 0.5 * far_v) / 8
         along = (5 * c + 4 * v - diagonal - far_v + 0.5 * far_h) / 8
-        odd_y, odd_x = F.pmod(y, F.lit(2)) == 1, F.pmod(i, F.lit(2)) == 1
-        red = F.when(~odd_y & ~odd_x, c).when(odd_y & odd_x, other).when(odd_y, along).otherwise(across)
-        green = F.when(odd_y == odd_x, cross).otherwise(c)
-        blue = F.when(odd_y & odd_x, c).when(~odd_y & ~odd_x, other).when(odd_y, across).otherwise(along)
-        return F.struct(red.cast("double").alias("r"), green.cast("double").alias("g"), blue.cast("double").alias("b"))
+        odd_y = (np.arange(first, first + n)[:, None] % 2 == 1) & np.ones(c.shape, bool)
+        odd_x = (np.arange(c.shape[1])[None, :] % 2 == 1) & np.ones(c.shape, bool)
+        red = np.select([~odd_y & ~odd_x, odd_y & odd_x, odd_y], [c, other, along], across)
+        blue = np.select([odd_y & odd_x, ~odd_y & ~odd_x, odd_y], [c, other, across], along)
+        return {"r": red, "g": np.where(odd_y == odd_x, cross, c), "b": blue}
 
-    return per_pixel(df, "rgb", rgb).select("photo", "y", "rgb")
+    return per_strip(rows, (column,), 2, REFLECT, kernel, RGB, height)
 
 
 #: Kernel weights by (|dy|, |dx|) of red and blue, and of green.
-KERNELS = {0: {(0, 0): 4, (0, 1): 2, (1, 0): 2, (1, 1): 1}, 1: {(0, 0): 4, (0, 1): 1, (1, 0): 1}, 2: {(0, 0): 4, (0, 1): 2, (1, 0): 2, (1, 1): 1}}
-
-
-def bilinear(rows: DataFrame, column: str = "px") -> DataFrame:
-    """(photo, y, rgb): each channel's weighted mean of the mosaic sites it has in a 3 x 3 window, of the weights that are inside the frame."""
-    df = with_rows(rows, 1, None, (column,))
-    width, y = F.size(column), F.col("y")
-
-    def rgb(i: Column) -> Column:
-        out = []
-        for channel in range(3):
-            total, weight = F.lit(0.0), F.lit(0.0)
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    k = KERNELS[channel].get((abs(dy), abs(dx)))
-                    if k:
-                        v = at(f"{column}__{dy + 1}", i, dx, width, None)
-                        own = v.isNotNull() & ((F.pmod(y + dy, F.lit(2)) + F.pmod(i + dx, F.lit(2))) == channel)
-                        total += F.when(own, v * k).otherwise(0.0)
-                        weight += F.when(own, F.lit(float(k))).otherwise(0.0)
-            out.append((total / weight).alias("rgb"[channel]))
-        return F.struct(*out)
-
-    return per_pixel(df, "rgb", rgb, column).select("photo", "y", "rgb")
-
-
-def simple(rows: DataFrame, column: str = "px") -> DataFrame:
-    """(photo, y, rgb): a known site is kept; else the mean of the channel's sites in the 3 x 3 window, cut at the edges. In an RGGB mosaic of 2 x 2 or more none is without."""
-    df = with_rows(rows, 1, None, (column,))
-    width, y = F.size(column), F.col("y")
-
-    def rgb(i: Column) -> Column:
-        out = []
-        for channel in range(3):
-            total, n = F.lit(0.0), F.lit(0.0)
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    v = at(f"{column}__{dy + 1}", i, dx, width, None)
-                    own = v.isNotNull() & ((F.pmod(y + dy, F.lit(2)) + F.pmod(i + dx, F.lit(2))) == channel)
-                    total += F.when(own, v).otherwise(0.0)
-                    n += F.when(own, F.lit(1.0)).otherwise(0.0)
-            mine = (F.pmod(y, F.lit(2)) + F.pmod(i, F.lit(2))) == channel
-            out.append(F.when(mine, at(f"{column}__1", i, 0, width, None)).otherwise(total / n).cast("double").alias("rgb"[channel]))
-        return F.struct(*out)
-
-    return per_pixel(df, "rgb", rgb, column).select("photo", "y", "rgb")
+CHROMA_KERNEL = {(0, 0): 4, (0, 1): 2, (1, 0): 2, (1, 1): 1}
+GREEN_KERNEL = {(0, 0): 4, (0, 1): 1, (1, 0): 1}
+
+
+def _means(plane: np.ndarray, first: int, kernels: tuple[dict, dict, dict]) -> list[np.ndarray]:
+    """For each channel the weighted mean of its sites in the 3 x 3 window, over the weights inside the frame."""
+    h, w = plane.shape[0] - 2, plane.shape[1] - 2
+    out = []
+    for channel, kernel in enumerate(kernels):
+        total, weight = np.zeros((h, w)), np.zeros((h, w))
+        for (a, b), k in kernel.items():
+            for dy in {-a, a}:
+                for dx in {-b, b}:
+                    v = _tap(plane, 1, dy, dx)
+                    own = (_site(first, h, w, dy, dx) == channel) & ~np.isnan(v)
+                    total += np.where(own, v * k, 0)
+                    weight += np.where(own, k, 0)
+        out.append(total / weight)
+    return out
+
+
+def bilinear(rows: DataFrame, column: str = "px", height: int = 32) -> DataFrame:
+    """(photo, y, r, g, b): normalised convolution; windows are cut at the frame's edges."""
+
+    def kernel(planes: dict[str, np.ndarray], first: int, n: int) -> dict[str, np.ndarray]:
+        return dict(zip("rgb", _means(planes[column], first, (CHROMA_KERNEL, GREEN_KERNEL, CHROMA_KERNEL))))
+
+    return per_strip(rows, (column,), 1, MISSING, kernel, RGB, height)
+
+
+def simple(rows: DataFrame, column: str = "px", height: int = 32) -> DataFrame:
+    """(photo, y, r, g, b): a known site is kept; else the mean of the channel's sites in the 3 x 3 window. In an RGGB mosaic of 2 x 2 or more none is without."""
+    flat = dict.fromkeys(CHROMA_KERNEL, 1)
+
+    def kernel(planes: dict[str, np.ndarray], first: int, n: int) -> dict[str, np.ndarray]:
+        own = _tap(planes[column], 1, 0, 0)
+        site = _site(first, *own.shape)
+        return {c: np.where(site == k, own, v) for k, (c, v) in enumerate(zip("rgb", _means(planes[column], first, (flat, flat, flat))))}
+
+    return per_strip(rows, (column,), 1, MISSING, kernel, RGB, height)
 
 
 def box_mean(pixels: DataFrame, column: str, radius: int) -> DataFrame:
-    """Adds mean: the mean over a (2 radius + 1)^2 window that shrinks at the edges, as two running windows of sums and counts."""
+    """Adds mean: the mean over a (2 radius + 1)^2 window that shrinks at the edges, as two running windows."""
     across = Window.partitionBy("photo", "y").orderBy("x").rowsBetween(-radius, radius)
     down = Window.partitionBy("photo", "x").orderBy("y").rowsBetween(-radius, radius)
     part = pixels.withColumn("__row", F.avg(column).over(across))

@@ -22,9 +22,9 @@ def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(photo, y, x, r, g, b): demosaiced camera colour in linear sRGB, not clamped."""
     headers = frames.frames(spark, sf_dir).select("photo", "model").join(F.broadcast(frames.render_profiles(spark)), "model")
     demosaiced = stencil.bilinear(balanced_rows(spark, sf_dir), "v")
-    px = demosaiced.select("photo", "y", F.posexplode("rgb").alias("x", "c")).join(F.broadcast(headers), "photo")
+    px = stencil.pixels(demosaiced).join(F.broadcast(headers), "photo")
     m = [[F.col(f"c{i}{j}") for j in range(3)] for i in range(3)]
-    r, g, b = scalar.matrix(m, (F.col("c.r"), F.col("c.g"), F.col("c.b")))
+    r, g, b = scalar.matrix(m, (F.col("r"), F.col("g"), F.col("b")))
     return px.select("photo", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
 
 

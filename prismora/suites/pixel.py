@@ -118,7 +118,7 @@ _TAPS1, _TAPS2 = _SHIFTED.format(v="(-1), (0), (1)"), _SHIFTED.format(v="(-2), (
 
 
 def _rgb(df: DataFrame) -> DataFrame:
-    return df.select("photo", "y", F.posexplode("rgb").alias("x", "c")).select("photo", "y", "x", *(scalar.rounded(F.col(f"c.{c}")).alias(c) for c in "rgb"))
+    return stencil.pixels(df).select("photo", "y", "x", *(scalar.rounded(F.col(c)).alias(c) for c in "rgb"))
 
 
 @S.add(f"""WITH {SENSOR}, {_TAPS1}, n AS (SELECT photo, y + dy AS y, x + dx AS x, y % 2 + x % 2 AS ch, dn, dy = 0 AND dx = 0 AS own FROM sensor, taps),
