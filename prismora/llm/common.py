@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of Arrow data that a mapper lets gather before it passes them on.
 FLUSH_BYTES = 4 << 20
-#: Words whose hashes a Python worker keeps.
-CACHE_WORDS = 1_000_000
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -63,17 +61,6 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-WORDS = WordHashes()
 #: Odd multiplier of the rolling combination of word hashes (2^64 over the golden ratio).
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,7 +71,16 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes; hashing anew is faster than a dictionary of a large vocabulary."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for short arrays much faster than np.unique."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,5 +99,5 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     n, out = min(n, len(hashes)), None
     for k in range(n):
         part = hashes[k : len(hashes) - n + 1 + k]
-        out = part.copy() if out is None else mix(out * MULTIPLIER + part + np.uint64(k))
-    return out if n > 1 else mix(out)
+        out = part.copy() if out is None else out * MULTIPLIER + part
+    return mix(out + np.uint64(n))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bounded_batches, cut, grams, in_slices, mix, shuffles, tokens, word_hashes
+from .common import blobs, bounded_batches, cut, distinct, grams, in_slices, mix, shuffles, tokens, word_hashes
 from .components import components
 from .packed import SCHEMA, Packer, reduce_buckets, runs
 
@@ -28,7 +28,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """The distinct shingles' hashes, in order."""
-    return np.unique(grams(word_hashes(tokens(text)), words))
+    return distinct(grams(word_hashes(tokens(text)), words))
 
 
 def set_key(own: np.ndarray) -> int:
