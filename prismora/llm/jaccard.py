@@ -20,8 +20,10 @@ from .packed import SCHEMA, Packer, reduce_buckets, runs
 
 #: Cells of the coarse counts whose distance bounds that of two sets from below.
 SKETCH = 64
-#: Members of a signature's group that one task compares with as many others.
-BLOCK = 1024
+#: Members of the groups that are compared where they meet, and of the blocks of larger ones.
+SMALL, BLOCK = 32, 1024
+#: What travels with a set's signatures: its size and coarse counts, cut off at 255.
+OWNER = np.dtype([("id", np.int64), ("n", np.int64), ("sketch", np.uint8, SKETCH)])
 #: The pairs of a partition's three cells.
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
@@ -90,7 +92,11 @@ def _of_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _shared_counts(docs: DataFrame, words: int) -> DataFrame:
-    """(set_id, shared): how many of a set's shingles another set has, too; at most too many, where hashes meet."""
+    """(set_id, shared): how many of a set's shingles another set has, too, in the buckets where that is a quarter of the set's at least.
+
+    If q of a set's n shingles are shared, the other buckets hold at most (n - q) * 4 / 3 of its shingles, of which a quarter are
+    shared; so shared is at least q - (n - q) / 3. Where hashes meet it is too large. Sets that share a line or two send next to nothing.
+    """
     buckets = shuffles(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +113,10 @@ def _shared_counts(docs: DataFrame, words: int) -> DataFrame:
 
     def count(keys: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
         first, n = runs(keys)
-        sets, shared = np.unique(owner[np.repeat(n > 1, n)], return_counts=True)
+        sets, which = np.unique(owner, return_inverse=True)
+        every, shared = np.bincount(which), np.bincount(which, np.repeat(n > 1, n)).astype(np.int64)
+        keep = 4 * shared >= every
+        sets, shared = sets[keep], shared[keep]
         if len(sets):
             yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(shared.astype(np.int64))], ["set_id", "shared"])
 
@@ -134,39 +143,75 @@ def _fetch(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return joined.mapInArrow(measure, "set_id long, n long, shingles array<long>, sketch binary").dropDuplicates(["set_id"])
 
 
-def _groups(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
-    """(gid, set_id, pivot, size): the members of signatures that two sets or more share; groups with the same members count once."""
+def _near(records: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of owners may link: by their sizes, and by the distance of their coarse counts, which that of the sets can't be below."""
+    out = np.zeros(len(a), bool)
+    n, sketch = records["n"], records["sketch"]
+    for k in range(0, len(a), 1 << 17):
+        i, j = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
+        fit = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        apart = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1, dtype=np.int64)
+        out[k + fit[apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]] = True
+    return out
+
+
+def _met(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
+    """(gid, a, b, star, size): what shares signatures. Rows without gid are pairs that may link, star where b or a is the first of a group;
+    rows with one are the members a of a group of more than SMALL, with its first member b, star where those may link. Groups of a bucket with the same members count once."""
     buckets = shuffles(sets.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        packer = Packer(buckets, OWNER)
         for batch in batches:
-            for key, own in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(key, signatures(np.asarray(own.values).view(np.uint64), first, percent))
+            for key, own, sketch in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                own = np.asarray(own.values).view(np.uint64)
+                coarse = np.minimum(np.frombuffer(sketch, np.uint16), 255).astype(np.uint8)
+                packer.add((key, len(own), coarse), signatures(own, first, percent))
                 if packer.full():
                     yield from packer.rows()
         yield from packer.rows()
 
-    def meet(keys: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def meet(keys: np.ndarray, owner: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
         at, n = runs(keys)
         keep = np.repeat(n > 1, n)
         owner, n = owner[keep], n[n > 1]
         if not len(n):
             return
         at = np.append(0, np.cumsum(n)[:-1])
-        gid = mix(np.add.reduceat(mix(owner.view(np.uint64)), at) + n.astype(np.uint64))
+        ids = records["id"]
+        gid = mix(np.add.reduceat(mix(ids[owner].view(np.uint64)), at) + n.astype(np.uint64))
         _, one = np.unique(gid, return_index=True)
-        chosen = np.zeros(len(n), bool)
-        chosen[one] = True
-        rows = np.repeat(chosen, n)
-        many = n[chosen]
-        pivot = np.repeat(owner[at[chosen]], many)
-        columns = [np.repeat(gid[chosen], many).view(np.int64), owner[rows], pivot, np.repeat(many, many).astype(np.int64)]
-        for a in range(0, len(pivot), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in columns], ["gid", "set_id", "pivot", "size"])
-
-    packed = sets.select("set_id", "shingles").mapInArrow(send, SCHEMA)
-    return reduce_buckets(packed, buckets, meet, "gid long, set_id long, pivot long, size long").dropDuplicates(["gid", "set_id"])
+        pairs: list[np.ndarray] = []
+        for size in np.unique(n[one]).tolist():
+            where = at[one[n[one] == size]]
+            if size > SMALL:
+                for group, g in zip(where.tolist(), gid[one[n[one] == size]].view(np.int64).tolist()):
+                    a = owner[group : group + size]
+                    b = np.full(size, a[0])
+                    yield _rows(np.full(size, g), ids[a], ids[b], _near(records, a, b, percent), size)
+                continue
+            members = owner[where[:, None] + np.arange(size)]
+            for i in range(size - 1):
+                a, b = np.repeat(members[:, i], size - 1 - i), members[:, i + 1 :].ravel()
+                pairs.append(distinct((a << 33) | (b << 1) | (i == 0)))
+                if len(pairs) >= 64:
+                    pairs = [distinct(np.concatenate(pairs))]
+        if pairs:
+            code = distinct(np.concatenate(pairs))
+            code = code[np.append(code[1:] >> 1 != code[:-1] >> 1, True)]  # of a pair's two codes the one with star
+            a, b = code >> 33, (code >> 1) & 0xFFFFFFFF
+            fit = _near(records, a, b, percent)
+            for k in range(0, int(fit.sum()), 100_000):
+                part = np.flatnonzero(fit)[k : k + 100_000]
+                yield _rows(None, ids[a[part]], ids[b[part]], (code[part] & 1).astype(bool), 2)
+
+    packed = sets.select("set_id", "shingles", "sketch").mapInArrow(send, SCHEMA)
+    return reduce_buckets(packed, buckets, meet, "gid long, a long, b long, star boolean, size long", OWNER)
+
+
+def _rows(gid: np.ndarray | None, a: np.ndarray, b: np.ndarray, star: np.ndarray, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if gid is None else pa.array(gid), pa.array(a), pa.array(b), pa.array(star), pa.array(np.full(len(a), size))], ["gid", "a", "b", "star", "size"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,9 +262,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     placed each by its own text; a row with a null id keeps a null component and links nothing. Other columns are ignored.
 
     Steps, each written to the shared folder: equal sets become one; sets of which too few shingles occur in
-    another set can't link and go (an exact condition); the others get PartEnum signatures; members of a signature
-    are verified against its first member; where a group then still holds several components, every pair across them is
-    compared, in blocks. No pair inside a component is listed, so a group of n copies costs n comparisons.
+    another set can't link and go (an exact condition); the others get PartEnum signatures; what shares one is
+    first compared by coarse counts. Members of a signature are verified against its first member; where a group then still holds
+    several components, every pair across them is compared, in blocks where the group is large. Of a large group no pair
+    inside a component is listed, so n copies cost n comparisons.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -228,19 +274,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     reps = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     reps = cut(reps, "reps")
     shared = _shared_counts(own.where("doc_id is not null"), words)
-    wanted = cut(reps.join(shared, "set_id").where(f"100 * shared >= {percent} * n").select("set_id", "rep", "n"), "wanted")
+    enough = f"300 * shared >= {4 * percent - 100} * n"  # q >= percent / 100 * n in q - (n - q) / 3
+    wanted = cut(reps.join(shared, "set_id").where(enough).select("set_id", "rep", "n"), "wanted")
     sets = cut(_fetch(own, wanted.select("set_id", "rep"), words), "shingles")
     most = wanted.agg(F.max("n")).first()[0] or 1
-    groups = cut(_groups(sets, bands(percent, most), percent), "groups")
-    tried = groups.where("set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
-    tried = cut(tried, "tried")
-    links = cut(_verified(tried, sets, percent), "links")
+    met = cut(_met(sets, bands(percent, most), percent), "met")
+    pairs = met.where("a <> b and (gid is null or star)").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
+    pairs = cut(pairs, "pairs")
+    links = cut(_verified(pairs.where("star").select("a", "b"), sets, percent), "links")
     labels = components(links)
+    label = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    rest = pairs.where("not star").join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
+    groups = met.where("gid is not null").select("gid", F.col("a").alias("set_id"), "size").dropDuplicates(["gid", "set_id"])
     labelled = groups.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
     left = labelled.join(mixed, "gid").join(sets.select("set_id", "n", "sketch"), "set_id")
-    more = cut(_verified(_across(left, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    tried = pairs.where("star").select("a", "b")
+    more = cut(_verified(_across(left, percent).union(rest).distinct().join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     placed = cut(reps.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("label")), "placed")

@@ -29,12 +29,12 @@ def _unplane(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 class Packer:
-    """Gathers the keys of owners (64-bit ids); full() tells when to take rows()."""
+    """Gathers the keys of owners; full() tells when to take rows(). An owner is a record of a fixed dtype (a 64-bit id, by default) that goes along once for each bucket and filling."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.keys, self.ids, self.n = buckets, [], [], 0
+    def __init__(self, buckets: int, kind: np.dtype | type = np.int64) -> None:
+        self.buckets, self.kind, self.keys, self.ids, self.n = buckets, kind, [], [], 0
 
-    def add(self, owner: int, keys: np.ndarray) -> None:
+    def add(self, owner: int | tuple, keys: np.ndarray) -> None:
         self.keys.append(keys)
         self.ids.append(owner)
         self.n += len(keys)
@@ -47,7 +47,7 @@ class Packer:
             return
         keys = np.concatenate(self.keys)
         owners = np.repeat(np.arange(len(self.ids), dtype=np.uint16), [len(k) for k in self.keys])
-        ids = np.array(self.ids, np.int64).tobytes()
+        ids = np.array(self.ids, self.kind).tobytes()
         self.keys, self.ids, self.n = [], [], 0
         b = np.uint64(self.buckets)
         order = (keys % b << np.uint64(32)) | ((keys // b) & np.uint64(0xFFFFFFFF))
@@ -60,8 +60,9 @@ class Packer:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z - a], pa.int32()), pa.array([_planes(own[a:z])], pa.binary()), pa.array([_planes(owners[a:z])], pa.binary()), pa.array([ids], pa.binary())], ["bucket", "n", "planes", "owners", "ids"])
 
 
-def reduce_buckets(packed: DataFrame, buckets: int, reducer: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Calls reducer(keys, owner ids), sorted by key and then owner, for each bucket; yields what it yields."""
+def reduce_buckets(packed: DataFrame, buckets: int, reducer: Callable[..., Iterator[pa.RecordBatch]], schema: str, kind: np.dtype | type = np.int64) -> DataFrame:
+    """Calls reducer(keys, owner ids), sorted by key and then owner, for each bucket; yields what it yields. Of owners that are records (with a field id), the reducer gets the records, sorted by id, and for each entry the place of its owner among them."""
+    plain = np.dtype(kind).names is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, ...]] = []
@@ -69,13 +70,20 @@ def reduce_buckets(packed: DataFrame, buckets: int, reducer: Callable[[np.ndarra
 
         def done() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate([_unplane(p, np.uint32, n) for n, p, _, _ in held])
-            owner = np.concatenate([np.frombuffer(i, np.int64)[_unplane(o, np.uint16, n)] for n, _, o, i in held])
+            records = np.concatenate([np.frombuffer(i, kind) for *_, i in held])
+            start = np.cumsum([0, *(len(i) // np.dtype(kind).itemsize for *_, i in held)])
+            owner = np.concatenate([_unplane(o, np.uint16, n) + start[k] for k, (n, _, o, _) in enumerate(held)])
             held.clear()
+            if plain:
+                owner = records[owner]
+            else:
+                _, one, which = np.unique(records["id"], return_index=True, return_inverse=True)
+                records, owner = records[one], which[owner]
             by = np.lexsort((owner, keys))
             keys, owner = keys[by], owner[by]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-            yield from reducer(keys[new], owner[new])
+            yield from reducer(keys[new], owner[new]) if plain else reducer(keys[new], owner[new], records)
 
         for batch in batches:
             for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns)):
