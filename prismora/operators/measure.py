@@ -25,10 +25,10 @@ def clip_counts(rgb: DataFrame) -> DataFrame:
 
 
 def neutral(r: Column, g: Column, b: Column) -> Column:
-    """Low chroma at middle brightness, of unit-range colours."""
+    """Low chroma at middle brightness, of 8-bit codes; whole numbers, so no threshold depends on how 255ths are rounded."""
     high = F.greatest(r, g, b)
-    luma = scalar.luma709(r, g, b)
-    return (F.when(high > 0, (high - F.least(r, g, b)) / high).otherwise(0.0) < 0.22) & (luma > 0.15) & (luma < 0.8)
+    luma = scalar.luma709(r, g, b) / 255
+    return (high > 0) & ((high - F.least(r, g, b)) / high < 0.22) & (luma > 0.15) & (luma < 0.8)
 
 
 def statistics(rgb: DataFrame) -> DataFrame:

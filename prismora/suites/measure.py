@@ -12,6 +12,13 @@ from .pixel import r6
 from .registry import Suite
 
 S = Suite()
+
+
+def r10(v: str) -> str:
+    """For means: of these, many are ties of the sixth decimal, and sums in another order fall to either side."""
+    return f"round_even(({v}) * 10000000000::DOUBLE, 0) / 10000000000::DOUBLE"
+
+
 RGB8 = render.RGB8
 
 
@@ -55,9 +62,9 @@ stats AS (SELECT q.*, t.trimmed FROM q JOIN (SELECT photo, avg(luma) AS trimmed
 _NAMES = ("p05", "p10", "median", "p90", "p95", "p99", "trimmed", "dark", "lit", "clipped", "chroma")
 
 
-@S.add(f"WITH {_STATS} SELECT photo, {', '.join(f'{r6(n)} AS {n}' for n in _NAMES)} FROM stats".replace("round_even((chroma)", "round_even((stats.chroma)"))
+@S.add(f"WITH {_STATS} SELECT photo, {', '.join(f'{r10(n)} AS {n}' for n in _NAMES)} FROM stats")
 def auto_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.statistics(render.rgb8(spark, sf_dir)).select("photo", *(scalar.rounded(F.col(n)).alias(n) for n in _NAMES))
+    return measure.statistics(render.rgb8(spark, sf_dir)).select("photo", *(scalar.rounded(F.col(n), 1e10).alias(n) for n in _NAMES))
 
 
 @S.add(f"""WITH {_STATS}, k AS (SELECT *, (dark > 0.55 AND p95 > 0.5) OR (dark > 0.9 AND lit > 0.001) AS low, p10 > 0.62 AND median > 0.72 AS high, p10 < 0.10 AND p99 > 0.84 AND median < 0.4 AS back, 0.65::DOUBLE * median + 0.35::DOUBLE * trimmed AS mid FROM stats),
@@ -100,7 +107,7 @@ def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.guard_counts(render.rgb8(spark, sf_dir), _candidates(spark, sf_dir))
 
 
-@S.add(f"WITH {_CAND} SELECT photo, candidate::INTEGER AS candidate, n, clipped, crushed, {r6('risk')} AS risk, fresh, lost, detail, {r6('median')} AS median, round_even(shadow_mean * 10000000000::DOUBLE, 0) / 10000000000::DOUBLE AS shadow_mean, midtones FROM guards")
+@S.add(f"WITH {_CAND} SELECT photo, candidate::INTEGER AS candidate, n, clipped, crushed, {r6('risk')} AS risk, fresh, lost, detail, {r6('median')} AS median, {r10('shadow_mean')} AS shadow_mean, midtones FROM guards")
 def guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _guards(spark, sf_dir)
     return g.withColumns({"risk": scalar.rounded(F.col("risk")), "median": scalar.rounded(F.col("median")), "shadow_mean": scalar.rounded(F.col("shadow_mean"), 1e10)})
@@ -136,7 +143,7 @@ neutral AS (SELECT *, y // 8 * 4 + x // 8 AS region, ln(greatest(r, 1)::DOUBLE /
 
 def _neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = render.rgb8(spark, sf_dir)
-    kept = px.where(measure.neutral(F.col("r") / 255, F.col("g") / 255, F.col("b") / 255))
+    kept = px.where(measure.neutral(F.col("r"), F.col("g"), F.col("b")))
     rg, bg = scalar.log_ratios(F.col("r"), F.col("g"), F.col("b"))
     return kept.select("photo", "y", "x", measure.region(F.col("y"), F.col("x"), 32, 32).alias("region"), rg.alias("rg"), bg.alias("bg"))
 
@@ -184,13 +191,13 @@ def dark_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @S.add(f"""WITH {_STATS}, t AS (SELECT photo, max(m) - min(m) AS range_ FROM (SELECT photo, y // 8 AS ty, x // 8 AS tx, avg((r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255) AS m FROM rgb8 GROUP BY ALL) GROUP BY photo),
 k AS (SELECT photo, avg((greatest(r, g, b) > 16 / 255::DOUBLE)::INTEGER) AS bright, quantile_cont(luma, 0.99) AS p99, quantile_cont(luma, 0.05) AS p05, avg((luma > 8 / 255::DOUBLE)::INTEGER) AS seen FROM lit GROUP BY photo)
-SELECT photo, bright < 0.0001 AND p99 < 8 / 255::DOUBLE AND p99 - p05 < 4 / 255::DOUBLE AND seen < 0.0001 AND range_ < 1 / 255::DOUBLE AS little, {r6('range_')} AS range_ FROM k JOIN t USING (photo)""")
+SELECT photo, bright < 0.0001 AND p99 < 8 / 255::DOUBLE AND p99 - p05 < 4 / 255::DOUBLE AND seen < 0.0001 AND range_ < 1 / 255::DOUBLE AS little, {r10('range_')} AS range_ FROM k JOIN t USING (photo)""")
 def little_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = render.rgb8(spark, sf_dir).withColumn("luma", scalar.luma709(F.col("r"), F.col("g"), F.col("b")) / 255)
     tiles = px.groupBy("photo", F.floor(F.col("y") / 8), F.floor(F.col("x") / 8)).agg(F.avg("luma").alias("m")).groupBy("photo").agg((F.max("m") - F.min("m")).alias("range_"))
     k = px.groupBy("photo").agg(F.avg(F.when(F.greatest("r", "g", "b") > 16, 1.0).otherwise(0.0)).alias("bright"), F.percentile("luma", 0.99).alias("p99"), F.percentile("luma", 0.05).alias("p05"), F.avg(F.when(F.col("luma") > 8 / 255, 1.0).otherwise(0.0)).alias("seen"))
     little = (F.col("bright") < 0.0001) & (F.col("p99") < 8 / 255) & (F.col("p99") - F.col("p05") < 4 / 255) & (F.col("seen") < 0.0001) & (F.col("range_") < 1 / 255)
-    return k.join(tiles, "photo").select("photo", little.alias("little"), scalar.rounded(F.col("range_")).alias("range_"))
+    return k.join(tiles, "photo").select("photo", little.alias("little"), scalar.rounded(F.col("range_"), 1e10).alias("range_"))
 
 
 @S.add(f"""WITH {RGB8}, s AS (SELECT photo, (y // 16 * 1000 + x // 16)::INTEGER AS block, y % 16 - 7.5::DOUBLE AS v, x % 16 - 7.5::DOUBLE AS h, (r - g)::DOUBLE AS u, (b - g)::DOUBLE AS w, (54 * r + 183 * g + 19 * b) / 256::DOUBLE AS l FROM rgb8),
