@@ -7,6 +7,7 @@ two agree. A signature is a partition and a pair of its cells with their content
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bounded_batches, cut, distinct, grams, in_slices, mix, shuffles, tokens, word_hashes
+from .common import blobs, bounded_batches, cut, distinct, grams, in_slices, mix, shared_dir, shuffles, tokens, word_hashes
 from .components import components
 from .packed import SCHEMA, Packer, reduce_buckets, runs
 
@@ -24,6 +25,10 @@ SKETCH = 64
 SMALL, BLOCK = 32, 1024
 #: What travels with a set's signatures: its size and coarse counts, cut off at 255.
 OWNER = np.dtype([("id", np.int64), ("n", np.int64), ("sketch", np.uint8, SKETCH)])
+#: Pairs for which one copy of a set's shingles is sent.
+PART = 2000
+#: Rounds of verification, the last of which takes all pairs that are left.
+ROUNDS = 4
 #: The pairs of a partition's three cells.
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
@@ -140,7 +145,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat, pa.array(seen, pa.binary())], ["set_id", "n", "shingles", "sketch"])
 
-    return joined.mapInArrow(measure, "set_id long, n long, shingles array<long>, sketch binary").dropDuplicates(["set_id"])
+    return joined.mapInArrow(measure, "set_id long, n long, shingles array<long>, sketch binary")
 
 
 def _near(records: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -157,8 +162,9 @@ def _near(records: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
 
 
 def _met(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
-    """(gid, a, b, star, size): what shares signatures. Rows without gid are pairs that may link, star where b or a is the first of a group;
-    rows with one are the members a of a group of more than SMALL, with its first member b, star where those may link. Groups of a bucket with the same members count once."""
+    """(gid, a, b, star, size): what shares signatures. Rows without gid are pairs that may link, star where one of them is the middle of a group;
+    rows with one are the members a of a group of more than SMALL, with its middle b, star where those may link. Groups of a bucket with the same members count once.
+    The middle is the member whose coarse counts are nearest the group's mean: copies are edits of something near it."""
     buckets = shuffles(sets.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +194,15 @@ def _met(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
             if size > SMALL:
                 for group, g in zip(where.tolist(), gid[one[n[one] == size]].view(np.int64).tolist()):
                     a = owner[group : group + size]
-                    b = np.full(size, a[0])
+                    b = np.full(size, a[_middles(records["sketch"][a][None])[0]])
                     yield _rows(np.full(size, g), ids[a], ids[b], _near(records, a, b, percent), size)
                 continue
             members = owner[where[:, None] + np.arange(size)]
+            middle = np.concatenate([_middles(records["sketch"][members[k : k + 4096]]) for k in range(0, len(members), 4096)])
             for i in range(size - 1):
                 a, b = np.repeat(members[:, i], size - 1 - i), members[:, i + 1 :].ravel()
-                pairs.append(distinct((a << 33) | (b << 1) | (i == 0)))
+                star = (middle[:, None] == i) | (middle[:, None] == np.arange(i + 1, size))
+                pairs.append(distinct((a << 33) | (b << 1) | star.ravel()))
                 if len(pairs) >= 64:
                     pairs = [distinct(np.concatenate(pairs))]
         if pairs:
@@ -210,19 +218,39 @@ def _met(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
     return reduce_buckets(packed, buckets, meet, "gid long, a long, b long, star boolean, size long", OWNER)
 
 
+def _middles(sketches: np.ndarray) -> np.ndarray:
+    """For each group of sketches (groups, members, cells) the member nearest the mean."""
+    mean = sketches.mean(axis=1, keepdims=True, dtype=np.float32)
+    return np.abs(sketches - mean).sum(axis=2).argmin(axis=1)
+
+
 def _rows(gid: np.ndarray | None, a: np.ndarray, b: np.ndarray, star: np.ndarray, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if gid is None else pa.array(gid), pa.array(a), pa.array(b), pa.array(star), pa.array(np.full(len(a), size))], ["gid", "a", "b", "star", "size"])
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, c: str, slim: DataFrame | None = None) -> DataFrame:
+    """pairs (the same as in slim) with n and shingles of the set in column c. The sets lie in buckets by set_id, so only those asked for move; one that is in many pairs is dealt out in several copies, each for PART pairs or so."""
+    asked = (slim or pairs).groupBy(c).agg(F.count("*").alias("many")).select(F.col(c).alias("set_id"), F.ceil(F.col("many") / PART).cast("int").alias("parts"))
+    copies = sets.select("set_id", "n", "shingles").join(asked, "set_id").select(F.col("set_id").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
+    dealt = pairs.join(asked.withColumnRenamed("set_id", c), c).withColumn("__part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
+    return dealt.join(copies, [c, "__part"]).drop("__part")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Spark splits the partitions of a set that is in many pairs."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    both = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    """The pairs (a, b) whose sets link."""
+    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b", pairs).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     counted = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
     return counted.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
 
 
+def _bucketed(df: DataFrame) -> DataFrame:
+    """df, one row for each set_id, as a table in as many buckets by set_id as shuffles have partitions, in the shared folder."""
+    spark, name = df.sparkSession, f"prismora_sets_{uuid.uuid4().hex}"
+    n = shuffles(spark)
+    df.repartition(n, "set_id").dropDuplicates(["set_id"]).write.bucketBy(n, "set_id").sortBy("set_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the members (gid, set_id, label, n, sketch, size) of a group that have different labels and may link.
 
@@ -253,6 +281,32 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return spread.groupBy("gid", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b): the pairs that aren't in one component yet."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return joined.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")).where("label_a <> label_b")
+
+
+def _merged(rest: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) with what the pairs `rest` add. First one pair for each two components is verified, again and again, as most then are one; at last all that are still apart."""
+    for k in range(ROUNDS):
+        rest = cut(_apart(rest.select("a", "b"), labels), "rest")
+        if rest.isEmpty():
+            break
+        if k < ROUNDS - 1:
+            chosen = rest.groupBy(F.least("label_a", "label_b").alias("x"), F.greatest("label_a", "label_b").alias("y")).agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.*")
+        else:
+            chosen = rest.select("a", "b")
+        chosen = cut(chosen, "chosen")
+        more = cut(_verified(chosen, sets, percent), "links")
+        rest = rest.select("a", "b").join(chosen, ["a", "b"], "left_anti")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+    return links, labels
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; exact.
 
@@ -276,24 +330,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     shared = _shared_counts(own.where("doc_id is not null"), words)
     enough = f"300 * shared >= {4 * percent - 100} * n"  # q >= percent / 100 * n in q - (n - q) / 3
     wanted = cut(reps.join(shared, "set_id").where(enough).select("set_id", "rep", "n"), "wanted")
-    sets = cut(_fetch(own, wanted.select("set_id", "rep"), words), "shingles")
+    # a filter made of the wanted ids keeps other texts from being shuffled; Spark leaves it out where they are too many for it
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "8MB")
+    sets = _bucketed(_fetch(own, wanted.where("n > 0").select("set_id", "rep"), words))
     most = wanted.agg(F.max("n")).first()[0] or 1
     met = cut(_met(sets, bands(percent, most), percent), "met")
     pairs = met.where("a <> b and (gid is null or star)").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
     pairs = cut(pairs, "pairs")
-    links = cut(_verified(pairs.where("star").select("a", "b"), sets, percent), "links")
+    links = cut(_verified(cut(pairs.where("star").select("a", "b"), "stars"), sets, percent), "links")
     labels = components(links)
-    label = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-    rest = pairs.where("not star").join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
+    rest = cut(_apart(pairs.where("not star").select("a", "b"), labels), "rest")
+    links, labels = _merged(rest, links, labels, sets, percent)
     groups = met.where("gid is not null").select("gid", F.col("a").alias("set_id"), "size").dropDuplicates(["gid", "set_id"])
     labelled = groups.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
     left = labelled.join(mixed, "gid").join(sets.select("set_id", "n", "sketch"), "set_id")
-    tried = pairs.where("star").select("a", "b")
-    more = cut(_verified(_across(left, percent).union(rest).distinct().join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    tried = pairs.select("a", "b")
+    across = cut(_across(left, percent).join(tried, ["a", "b"], "left_anti"), "across")
+    links, labels = _merged(across, links, labels, sets, percent)
     placed = cut(reps.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("label")), "placed")
     least = placed.groupBy("label").agg(F.min("rep").alias("set_component"))
     by_set = placed.join(least, "label").select("set_id", "set_component")
