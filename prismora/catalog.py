@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .suites import masks, measure, pixel, records
+from .suites import decide, masks, measure, pixel, records
 
-SUITES = (measure.S, pixel.S, masks.S, records.S)
+SUITES = (measure.S, pixel.S, masks.S, decide.S, records.S)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
