@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lm, packing, quality, quotes, substrings, tiff, token_counts, warc
+from . import decontaminate, jaccard, lm, oracles, packing, quality, quotes, substrings, tiff, token_counts, warc
 from .common import documents, id_crc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quotation_linking": quotes.SQL}
+    return {"op2_jaccard_join": oracles.JACCARD, "op4_quotation_linking": quotes.SQL, "op5_warc": oracles.WARC}

@@ -115,3 +115,16 @@ def test_quotations_with_nulls_and_repeats(spark):
     assert [r.reply_to for r in got if (r.conv_id, r.turn) == (1, 1)] == [0, 0]
     assert all(r.reply_to is None for r in got if r.conv_id is None or r.turn is None)
     assert quotes.link_quotations(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert collections.Counter(map(tuple, df.select(*names).collect())) == collections.Counter(found.fetchall())
