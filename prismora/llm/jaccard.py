@@ -19,8 +19,8 @@ from .common import blobs, bounded_batches, cut, distinct, grams, in_slices, mix
 from .components import components
 from .packed import SCHEMA, Packer, reduce_buckets, runs
 
-#: Cells of the coarse counts whose distance bounds that of two sets from below.
-SKETCH = 64
+#: Cells of the coarse and the fine counts, whose distance bounds that of two sets from below; counts stop at 255.
+SKETCH, FINE = 64, 512
 #: Members of the groups that are compared where they meet, and of the blocks of larger ones.
 SMALL, BLOCK = 32, 1024
 #: What travels with a set's signatures: its size and coarse counts, cut off at 255.
@@ -140,7 +140,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if len(own) and set_key(own) == key:  # else another row of the same doc_id
                     keys.append(key)
                     sets.append(own.view(np.int64))
-                    seen.append(np.minimum(np.bincount((mix(own) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16).tobytes())
+                    seen.append(np.minimum(np.bincount((mix(own) % np.uint64(FINE)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, sets)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat, pa.array(seen, pa.binary())], ["set_id", "n", "shingles", "sketch"])
@@ -148,6 +148,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return joined.mapInArrow(measure, "set_id long, n long, shingles array<long>, sketch binary")
 
 
+def _coarse(fine: bytes) -> np.ndarray:
+    """Sums of the fine counts that fall together, again up to 255."""
+    return np.minimum(np.frombuffer(fine, np.uint8).reshape(-1, SKETCH).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+
+
 def _near(records: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of owners may link: by their sizes, and by the distance of their coarse counts, which that of the sets can't be below."""
     out = np.zeros(len(a), bool)
@@ -172,8 +177,7 @@ def _met(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
         for batch in batches:
             for key, own, sketch in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 own = np.asarray(own.values).view(np.uint64)
-                coarse = np.minimum(np.frombuffer(sketch, np.uint16), 255).astype(np.uint8)
-                packer.add((key, len(own), coarse), signatures(own, first, percent))
+                packer.add((key, len(own), _coarse(sketch)), signatures(own, first, percent))
                 if packer.full():
                     yield from packer.rows()
         yield from packer.rows()
@@ -228,18 +232,28 @@ def _rows(gid: np.ndarray | None, a: np.ndarray, b: np.ndarray, star: np.ndarray
     return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if gid is None else pa.array(gid), pa.array(a), pa.array(b), pa.array(star), pa.array(np.full(len(a), size))], ["gid", "a", "b", "star", "size"])
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, c: str, slim: DataFrame | None = None) -> DataFrame:
-    """pairs (the same as in slim) with n and shingles of the set in column c. The sets lie in buckets by set_id, so only those asked for move; one that is in many pairs is dealt out in several copies, each for PART pairs or so."""
-    asked = (slim or pairs).groupBy(c).agg(F.count("*").alias("many")).select(F.col(c).alias("set_id"), F.ceil(F.col("many") / PART).cast("int").alias("parts"))
-    copies = sets.select("set_id", "n", "shingles").join(asked, "set_id").select(F.col("set_id").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
+def _with_sets(pairs: DataFrame, sets: DataFrame, c: str, slim: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """pairs (the same as in slim) with columns of the set in column c. The sets lie in buckets by set_id, so only those asked for move; one that is in many pairs is dealt out in several copies, each for PART pairs or so."""
+    asked = slim.groupBy(c).agg(F.count("*").alias("many")).select(F.col(c).alias("set_id"), F.ceil(F.col("many") / PART).cast("int").alias("parts"))
+    copies = sets.select("set_id", *columns).join(asked, "set_id").select(F.col("set_id").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"), *(F.col(k).alias(f"{k}_{c}") for k in columns))
     dealt = pairs.join(asked.withColumnRenamed("set_id", c), c).withColumn("__part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
     return dealt.join(copies, [c, "__part"]).drop("__part")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b", pairs).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    counted = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
+    """The pairs (a, b) whose sets link. Fine counts, a tenth of the shingles' bytes, go first and leave few other pairs."""
+    both = _with_sets(_with_sets(pairs, sets, "a", pairs, ("n", "sketch")), sets, "b", pairs, ("n", "sketch")).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE) for k in (2, 3))
+            apart = np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64)
+            keep = pa.array(apart * (100 + percent) <= batch.column(4).to_numpy() * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
+
+    near = cut(both.select("a", "b", "sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).mapInArrow(compare, "a long, b long"), "near")
+    both = _with_sets(_with_sets(near, sets, "a", near, ("n", "shingles")), sets, "b", near, ("n", "shingles"))
+    counted = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long").alias("common"))
     return counted.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
 
 
@@ -263,7 +277,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         ids, label, n, at = (table.column(c).to_numpy() for c in ("set_id", "label", "n", "at"))
-        sketch = np.stack([np.frombuffer(x, np.uint16) for x in table.column("sketch").to_pylist()]).astype(np.int32)
+        sketch = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]).astype(np.int32)
         x, y = key[1].as_py(), key[2].as_py()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         left, right = np.flatnonzero(at == x), np.flatnonzero(at == y)
