@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: word bounds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import blobs, bounded_batches, in_slices
 
-#: Words of a seed, seeds of an item (its rarest ones), and the share of a perfect alignment's score that counts as a leak.
-SEED_WORDS, SEEDS, LEAK = 3, 24, 0.5
+#: Words of the shortest item, and the share of a perfect alignment's score that counts as a leak.
+ITEM_WORDS, LEAK = 3, 0.5
 #: The scores of a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items and their bytes that go to the workers at a time; a larger benchmark is searched for in several passes.
@@ -54,54 +54,76 @@ def folded(text: bytes) -> list[bytes]:
     return text.split() if text.islower() and text.isascii() else text.decode("utf-8", "replace").lower().encode().split()
 
 
-class Seeds:
-    """The grams of a set of items. Words are numbered from 1; a gram is one number."""
+class Items:
+    """The words of a set of items, numbered from 1, and for each word the items that have it."""
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int) -> None:
-        self.n, self.vocabulary = n, {}
-        self.ids, self.words = [], []
+    def __init__(self, items: list[tuple[int, bytes]], least: float, item_words: int) -> None:
+        self.vocabulary, self.ids, self.words = {}, [], []
         for item_id, text in items:
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in folded(text)]
-            if own:
+            own = folded(text)
+            if len(own) >= max(1, item_words):
                 self.ids.append(item_id)
-                self.words.append(np.array(own, np.int64))
-        self.base = len(self.vocabulary) + 1
-        if self.base**n >= 2**63:
-            raise ValueError("too many distinct words for seeds of this length")
-        per_item = [np.unique(self.grams(w)) for w in self.words]
-        self.codes = np.unique(np.concatenate(per_item)) if per_item else np.zeros(0, np.int64)
-        self.of_item = [np.searchsorted(self.codes, g) for g in per_item]
-
-    def grams(self, words: np.ndarray) -> np.ndarray:
-        """-1 where a word isn't in any item. Shorter texts have none."""
-        m = len(words) - self.n + 1
-        if m <= 0:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(m, np.int64), np.ones(m, bool)
-        for k in range(self.n):
-            code = code * self.base + words[k : m + k]
-            known &= words[k : m + k] > 0
-        return np.where(known, code, -1)
-
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, gram numbers) of the items' grams."""
-        own = self.grams(words)
-        at = np.flatnonzero(own >= 0)
-        if not len(at):
-            return at, at
-        k = np.minimum(np.searchsorted(self.codes, own[at]), len(self.codes) - 1)
-        hit = self.codes[k] == own[at]
-        return at[hit], k[hit]
+                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], np.int64))
+        self.kinds = [np.unique(w, return_counts=True) for w in self.words]
+        self.need = np.array([least * MATCH * len(w) for w in self.words])
+        item = np.repeat(np.arange(len(self.words)), [len(k) for k, _ in self.kinds])
+        word = np.concatenate([k for k, _ in self.kinds]) if self.kinds else np.zeros(0, np.int64)
+        many = np.concatenate([n for _, n in self.kinds]) if self.kinds else np.zeros(0, np.int64)
+        by = np.argsort(word, kind="stable")
+        self.item, self.many = item[by], many[by]
+        self.start = np.searchsorted(word[by], np.arange(len(self.vocabulary) + 2))
 
     def number(self, text: bytes) -> np.ndarray:
+        """Words as numbers, 0 where no item has one."""
         words, get = folded(text), self.vocabulary.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
-    def choose(self, frequency: np.ndarray, most: int) -> None:
-        """Keeps for each item the grams that the fewest documents have."""
-        pairs = [(int(g), i) for i, own in enumerate(self.of_item) for g in own[np.lexsort((own, frequency[own]))[:most]]]
-        self.gram = np.array([g for g, _ in sorted(pairs)], np.int64)
-        self.item = np.array([i for _, i in sorted(pairs)], np.int64)
+    def near(self, words: np.ndarray) -> np.ndarray:
+        """The items of which the text has enough words, as often as the item, for the least score to be in reach."""
+        known = np.sort(words[words > 0])
+        if not len(known):
+            return known
+        at = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))
+        times = np.diff(np.append(at, len(known)))
+        low = self.start[known[at]]
+        n = self.start[known[at] + 1] - low
+        post = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.item[post], np.minimum(self.many[post], np.repeat(times, n)), len(self.words))
+        return np.flatnonzero(MATCH * shared >= self.need)
+
+    def stretches(self, i: int, words: np.ndarray, mark: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(first, end) of the stretches that hold every alignment of item i with the least score; mark is False for each word.
+
+        A text word gains MATCH at most where the item has it, and costs a mismatch or a gap elsewhere, so an alignment's
+        score is at most the sum of these over its words. Words within no run of a large enough sum are left out.
+        """
+        own = self.kinds[i][0]
+        mark[own] = True
+        gain = np.where(mark[words], MATCH, max(MISMATCH, GAP))
+        mark[own] = False
+        total = np.concatenate([[0], np.cumsum(gain)])
+        ending = total[1:] - np.minimum.accumulate(total[:-1])
+        if ending.max() < self.need[i]:
+            return
+        starting = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+        inside = (ending + starting - gain >= self.need[i]).astype(np.int8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], inside, [0]])))
+        yield from zip(edge[::2].tolist(), edge[1::2].tolist())
+
+    def aligned(self, i: int, words: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(score, start, end, start in the item, its end) of the alignments of item i within words[a:b]: the best one, then those on both sides of it."""
+        own, many = self.kinds[i]
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            stretch = words[a:b]
+            there = np.bincount(np.minimum(np.searchsorted(own, stretch), len(own) - 1)[np.isin(stretch, own)], minlength=len(own))
+            if MATCH * np.minimum(there, many).sum() < self.need[i]:
+                continue
+            score, c, d, e, f = align(self.words[i], stretch)
+            if score > 0 and score >= self.need[i]:
+                yield score, a + e, a + f, c, d
+                todo += [(a, a + e), (a + f, b)]
 
 
 def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -118,81 +140,38 @@ def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
-def _candidates(seeds: Seeds, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(item, first word, last word) of the stretches around an item's seeds that may hold it."""
-    at, gram = seeds.find(words)
-    if not len(at):
-        return
-    low, high = np.searchsorted(seeds.gram, gram, "left"), np.searchsorted(seeds.gram, gram, "right")
-    n = high - low
-    item = seeds.item[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    place = np.repeat(at, n)
-    by = np.lexsort((place, item))
-    item, place = item[by], place[by]
-    size = np.array([len(w) for w in seeds.words], np.int64)
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (place[1:] - place[:-1] > 2 * size[item[1:]])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(item)) - 1
-    for a, b in zip(first.tolist(), last.tolist()):
-        i = int(item[a])
-        reach = int(1.5 * size[i]) + seeds.n
-        yield i, max(0, int(place[a]) - reach), min(len(words), int(place[b]) + seeds.n + reach)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAK, seed_words: int = SEED_WORDS, most_seeds: int = SEEDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAK, item_words: int = ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word, item_start, item_end): passages of documents that align with a benchmark item at `least` of the perfect score or better.
 
-    Words are [^\\x20\\x09-\\x0D]+ in lower case; ends are exclusive. A first pass over all documents counts in how many each of the
-    items' n-grams occurs; each item's rarest ones are its seeds. A second pass aligns every item with the stretches around its seeds,
-    wherever a multiset bound lets the score be reached. Copies of a passage don't take its seeds away, as they are chosen by rank.
-    Null and empty texts, items of no word or of fewer than seed_words words, and null ids of items have no rows; a null doc_id stays null; rows repeat as the input does; other columns are
-    ignored. Both passes are narrow; counts come to the driver as one row a task and gram of the benchmark.
+    Words are [^\\x20\\x09-\\x0D]+ in lower case; ends are exclusive. One pass over all documents aligns every item with the stretches
+    where two bounds let the score be reached: the words a document shares with the item, and the gain of a stretch's words less the cost of the
+    others. Both are exact, so edits, wherever they are, hide no passage. Passages of one item in one document don't overlap: the best is taken first.
+    Null and empty texts, items of no word or of fewer than item_words words, and null ids of items have no rows; a null doc_id stays null; rows repeat as the input does; other columns are
+    ignored. Nothing is shuffled.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = None
     for items in _chunks(benchmark):
-        part = _leaks(own, Seeds(items, seed_words), least, most_seeds)
+        part = _leaks(own, Items(items, least, item_words))
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], LEAKS) if out is None else out
 
 
-def _leaks(docs: DataFrame, seeds: Seeds, least: float, most_seeds: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(sent.value.codes), np.int64)
-        for batch in in_slices(batches):
-            for text in blobs(batch.column(1)):
-                n[np.unique(sent.value.find(sent.value.number(text))[1])] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["gram", "n"])
-
-    frequency = np.zeros(len(seeds.codes), np.int64)
-    for gram, n in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():  # as many rows as the chunk has grams
-        frequency[gram] = n
-    seeds.choose(frequency, most_seeds)
-    chosen = docs.sparkSession.sparkContext.broadcast(seeds)
+def _leaks(docs: DataFrame, items: Items) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = chosen.value
-        kinds = [np.unique(w, return_counts=True) for w in s.words]
+        s = sent.value
+        mark = np.zeros(len(s.vocabulary) + 1, bool)
         for batch in in_slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
                 words = s.number(text)
-                for i, a, b in _candidates(s, words):
-                    query, stretch = s.words[i], words[a:b]
-                    perfect = MATCH * len(query)
-                    own, many = kinds[i]
-                    there = np.bincount(np.minimum(np.searchsorted(own, stretch), len(own) - 1)[np.isin(stretch, own)], minlength=len(own))
-                    if MATCH * np.minimum(there, many).sum() < least * perfect:
-                        continue
-                    score, c, d, e, f = align(query, stretch)
-                    if score >= least * perfect:
-                        rows.append((doc_id, s.ids[i], score / perfect, a + e, a + f, c, d))
+                for i in s.near(words).tolist():
+                    for a, b in s.stretches(i, words, mark):
+                        rows += [(doc_id, s.ids[i], score / (MATCH * len(s.words[i])), *at) for score, *at in s.aligned(i, words, a, b)]
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(columns)], [c.split()[0] for c in LEAKS.split(", ")])
 

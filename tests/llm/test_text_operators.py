@@ -182,6 +182,28 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert"])
+def test_edited_leaks_against_brute_force(spark, kind):
+    rng = random.Random(kind)
+    items = [(k, " ".join(prose(rng, rng.randint(50, 100)))) for k in range(40)]
+    rows = [(1000 + k, t) for k, t in items[::2]]  # verbatim copies elsewhere
+    for k, t in items:
+        w = t.split()
+        for share in (0.15, 0.2, 0.25, 0.45):
+            edits = sorted(rng.sample(range(len(w)), int(share * len(w))), reverse=True)
+            new = list(w)
+            for at in edits:
+                new[at : at + (kind == "replace")] = prose(rng, 1)
+            rows.append((len(rows), " ".join(prose(rng, 60) + new + prose(rng, 60))))
+    rows += [(5000, " ".join([items[0][1], *prose(rng, 5), items[0][1]]))]
+    word = collections.defaultdict(lambda: len(word))
+    coded = lambda t: np.array([word[x] for x in t.split()])
+    want = {(i, k) for i, t in rows for k, q in items if decontaminate.align(coded(q), coded(t))[0] >= len(q.split())}
+    got = decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 120
+    assert sum(r.doc_id == 5000 and r.score == 1 for r in got) == 2
+
+
 def test_alignment_against_the_plain_recurrence():
     rng = np.random.default_rng(4)
     for _ in range(60):
