@@ -182,6 +182,31 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_edited_passages_against_brute_force():
+    rng = random.Random(3)
+    found = 0
+    for k in range(200):
+        w = prose(rng, rng.randint(50, 90))
+        new = list(w)
+        if k < 2:  # twelve words in one place
+            w = prose(rng, 80)
+            new = w[:40] + prose(rng, 12) + w[40:]
+        for _ in range(rng.randint(0, 5) if k >= 2 else 0):
+            at = rng.randrange(1, len(new) - 1)
+            new[at : at + rng.randint(0, 1)] = prose(rng, rng.randint(0, 3))
+        if k == 1:
+            w, new = new, w
+        seq = lambda t: substrings.sequence(" ".join(t).encode())
+        x, p = seq(new), seq(w)
+        like = len(x) >= 46 and 100 * len(set(x) & set(p)) >= 75 * len(set(x) | set(p))
+        got = substrings.passages(seq(prose(rng, 30) + new + prose(rng, 30)), seq(prose(rng, 30) + w + prose(rng, 30)), 46, 75)
+        assert got or not like
+        found += like
+        for a, b, c, d, sim in got:
+            assert b - a >= 46 and sim >= 0.75
+    assert found > 60
+
+
 @pytest.mark.parametrize("kind", ["replace", "insert"])
 def test_edited_leaks_against_brute_force(spark, kind):
     rng = random.Random(kind)
