@@ -31,13 +31,32 @@ def parsed(messages: DataFrame) -> DataFrame:
     return starts.withColumn("__runs", runs).drop("__starts")
 
 
+def _paragraphs(text: Column) -> Column:
+    return F.split(text, r"\n[ \t]*\n", -1)
+
+
+def _hash(text: Column) -> Column:
+    return F.md5(_normal(text))
+
+
+def _pieces(text: Column) -> Column:
+    """(at, kind, hash, n) of the whole text (at -1, kind 0), of its paragraphs (kind 1) and of their distinct lines (kind 2), with the number of the paragraph's lines."""
+    piece = lambda at, kind, of, n: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), of.alias("hash"), n.cast("int").alias("n"))
+    said = lambda x: _normal(x) != ""
+    lines = lambda p: F.array_distinct(F.transform(F.filter(F.split(p, "\n", -1), said), _hash))
+    paragraphs = F.transform(F.filter(_paragraphs(text), said), lambda p: F.struct(_hash(p).alias("hash"), lines(p).alias("lines")))
+    each = F.transform(paragraphs, lambda p, k: piece(k, 1, p["hash"], F.size(p["lines"])))
+    every = F.flatten(F.transform(paragraphs, lambda p, k: F.transform(p["lines"], lambda h: piece(k, 2, h, F.size(p["lines"])))))
+    return F.concat(F.array(piece(F.lit(-1), 0, _hash(text), F.lit(0))), each, every)
+
+
 def originals(lined: DataFrame) -> DataFrame:
-    """(conv_id, hash, first_turn): the passages that a message says itself, unquoted: its whole body, each paragraph and each line; the first message of a conversation that says one is its original."""
+    """(conv_id, hash, first_turn): the passages that a message says itself, unquoted: its whole body, each stretch between quotes, each paragraph of these and each line; the first message of a conversation that says one is its original."""
     own = lined.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.expr("filter(__runs, r -> r.level = 0)").alias("own"))
     body = F.array_join(F.transform("own", lambda r: r["content"]), "\n")
-    paragraphs = F.split(body, r"\n[ \t]*\n", -1)
-    lines = F.split(body, "\n", -1)
-    said = own.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.concat(F.array(body), paragraphs, lines), _normal))).alias("said")).where("said <> ''")
+    stretches = F.transform("own", lambda r: r["content"])
+    said = F.concat(F.array(body), stretches, _paragraphs(body), F.split(body, "\n", -1), F.flatten(F.transform("own", lambda r: _paragraphs(r["content"]))))
+    said = own.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(said, _normal))).alias("said")).where("said <> ''")
     return said.groupBy("conv_id", F.md5("said").alias("hash")).agg(F.min("turn").alias("first_turn"))
 
 
@@ -45,9 +64,10 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, reply_to, thread_root, depth, n_quotes, n_linked, body) of every message.
 
     Lines that begin with > marks are quotes, one level for each mark. A stretch of lines of one level is a passage; its
-    normalised text's hash is joined to those of what messages of the conversation say themselves (bodies, paragraphs, lines), and its
-    original is the first that says it, if that comes earlier. A message replies to the latest original of its least deep linked
-    passages; without any it starts a thread. body is the text without its quoted lines and without white space at its ends. Ordered by
+    normalised text's hash is joined to those of what messages of the conversation say themselves (bodies, stretches between quotes, paragraphs, lines), and its
+    original is the first that says it, if that comes earlier; a passage without one whose paragraphs all have originals,
+    themselves or line by line, has the latest of these. A message
+    replies to the latest original of its least deep linked passages; without any it starts a thread. body is the text without its quoted lines and without white space at its ends. Ordered by
     conv_id, thread_root and turn, every message comes after the one it replies to.
 
     Null texts have an empty body; messages with a null conv_id or turn link nothing and have a null thread_root where turn is null. Rows that repeat conv_id and turn
@@ -57,9 +77,15 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     picked = conversations.select(*(F.col(f"`{c}`") for c in ("conv_id", "turn", "role", "text")))
     lined = parsed(picked)
     quoted = lined.where("exists(__runs, r -> r.level > 0) and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.expr("filter(__runs, r -> r.level > 0)")).alias("run"))
-    quoted = quoted.select("conv_id", "turn", F.col("run.level").alias("level"), F.md5(_normal(F.col("run.content"))).alias("hash"))
-    found = quoted.join(originals(lined), ["conv_id", "hash"]).where("first_turn < turn")
-    links = found.groupBy("conv_id", "turn").agg(F.countDistinct("hash").alias("n_linked"), F.min(F.struct("level", (-F.col("first_turn")).alias("earlier"))).alias("best"))
+    quoted = quoted.select("conv_id", "turn", F.col("run.level").alias("level"), F.md5(F.col("run.content")).alias("raw"), _hash(F.col("run.content")).alias("whole"), _pieces(F.col("run.content")).alias("pieces"))
+    pieces = quoted.select("conv_id", "turn", "level", "raw", "whole", F.expr("size(filter(pieces, p -> p.kind = 1))").alias("n"), F.explode("pieces").alias("piece")).select("*", F.col("piece.hash").alias("hash"))
+    found = pieces.join(originals(lined), ["conv_id", "hash"]).where("first_turn < turn")
+    first = lambda kind: F.max(F.when(F.col("piece.kind") == kind, F.col("first_turn")))
+    lines = F.when(F.countDistinct(F.when(F.col("piece.kind") == 2, F.col("hash"))) == F.max("piece.n"), first(2))
+    by_paragraph = found.groupBy("conv_id", "turn", "level", "raw", "whole", "n", F.col("piece.at").alias("at")).agg(first(0).alias("all"), F.coalesce(first(1), lines).alias("part"))
+    by_parts = F.when(F.count("part") == F.max("n"), F.max("part"))
+    passages = by_paragraph.groupBy("conv_id", "turn", "level", "raw", "whole").agg(F.coalesce(F.max("all"), by_parts).alias("first_turn")).where("first_turn is not null")
+    links = passages.groupBy("conv_id", "turn").agg(F.countDistinct("whole").alias("n_linked"), F.min(F.struct("level", (-F.col("first_turn")).alias("earlier"))).alias("best"))
     links = cut(links.select("conv_id", "turn", "n_linked", (-F.col("best.earlier")).cast("long").alias("reply_to")), "replies")
     placed = _roots(links)
     body = F.regexp_replace(F.array_join(F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n"), r"^\s+|\s+$", "")

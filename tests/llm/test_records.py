@@ -107,6 +107,17 @@ def test_quotations_equal_the_sql(spark):
     assert set(map(tuple, got.select(*names).collect())) == set(con.execute(quotes.SQL).fetchall())
 
 
+def test_parts_of_passages_are_linked(spark):
+    long = "First line here\nsecond line here\nthird line here\n\nAnother paragraph\n\nThe last paragraph"
+    rows = [
+        (1, 0, long), (1, 1, "> First line here\n> second line here\nanswer"), (1, 2, "> Another paragraph\n>\n> The last paragraph\nyes"),
+        (1, 3, "> yes\none answer\nof two lines\n> Another paragraph\nmore to say\non this"), (1, 4, ">> yes\n> one answer\n> of two lines\n>> Another paragraph\n> more to say\n> on this\nall right"),
+        (1, 5, "> nothing that\n> anybody said"),
+    ]
+    got = quotes.link_quotations(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.reply_to, r.thread_root, r.n_quotes, r.n_linked) for r in got} == {0: (None, 0, 0, 0), 1: (0, 0, 1, 1), 2: (0, 0, 1, 1), 3: (2, 0, 2, 2), 4: (3, 0, 4, 4), 5: (None, 5, 1, 0)}
+
+
 def test_quotations_with_nulls_and_repeats(spark):
     rows = [*CONVERSATIONS, (1, 1, "a", "> Hello there.\n> how are you?\nGood."), (None, 0, "u", "> Good."), (1, None, "u", "> Good."), (3, 0, None, None)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, hash int")
