@@ -182,6 +182,19 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_texts_of_one_window_agree():
+    rng, seq = random.Random(8), lambda t: substrings.sequence(" ".join(t).encode())
+    missed = 0
+    for _ in range(1000):
+        w = prose(rng, 50)
+        new = w[:24] + prose(rng, 2) + w[26:]
+        x, p = set(seq(new)), set(seq(w))
+        assert 100 * len(x & p) >= 75 * len(x | p)
+        keys = [substrings.window_keys(seq(t), 46, substrings.HASHES) for t in (new, w)]
+        missed += len(np.intersect1d(*keys)) < substrings.AGREE
+    assert missed <= 2, missed
+
+
 def test_edited_passages_against_brute_force():
     rng = random.Random(3)
     found = 0
