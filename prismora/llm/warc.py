@@ -18,8 +18,6 @@ from .common import bounded_batches, cut, in_slices
 ARCHIVE_BYTES = 4 << 20
 #: Bytes that are handed to the decompressor at a time.
 CHUNK = 1 << 16
-#: Most bytes of a record's header.
-MOST_HEADER = 1 << 16
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -58,11 +56,10 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | Non
     for pieces in _members(data):
         buffer = bytearray()
         for piece in pieces:
+            seen = max(0, len(buffer) - 3)
             buffer += piece
-            if b"\r\n\r\n" in buffer:
+            if buffer.find(b"\r\n\r\n", seen) >= 0:
                 break
-            if len(buffer) > MOST_HEADER:
-                raise ValueError("the header doesn't end")
         head, mark, rest = bytes(buffer).partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not mark or not lines[0].startswith("WARC/"):

@@ -83,6 +83,12 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).collect() == []
 
 
+def test_warc_with_a_long_url(spark):
+    pages = spark.createDataFrame([(k, "http://a/" + "x" * n, f"page {k}") for k, n in enumerate((5, 300_000, 7))], "page_id long, url string, html string").coalesce(1)
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    assert {r.page_id: (len(r.target_uri), bytes(r.payload), r.error) for r in got} == {0: (14, b"page 0", None), 1: (300_009, b"page 1", None), 2: (16, b"page 2", None)}
+
+
 def test_warc_damage_is_told():
     a = warc.record([("WARC-Type", "response"), ("WARC-Block-Digest", "sha1:AAAA")], b"payload")
     assert [e for *_, e in warc.read_records(a + a)] == ["block digest differs"] * 2
