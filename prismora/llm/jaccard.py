@@ -1,12 +1,16 @@
 """An exact n-gram Jaccard self-join by PartEnum signatures.
 
 Two sets of a size band whose symmetric difference is at most k share a signature: the feature domain is
-dealt into n1 partitions, of which enough differ in at most one feature, and each of those into three cells, of which
-two agree. A signature is a partition and a pair of its cells with their content.
+dealt into n1 partitions, of which enough differ in at most k2 features, and each of those into n2 cells, of which all but
+k2 agree. A signature is a partition and all but k2 of its cells with their content. Sets that share one are compared with one of
+them, the pivot, and then with those of the pivot's other sets that are still in another component.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -15,22 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bounded_batches, cut, distinct, grams, in_slices, mix, shared_dir, shuffles, tokens, word_hashes
+from .common import FILTERED, blobs, bounded_batches, cut, distinct, grams, in_slices, mix, settings, shared_dir, shuffles, tokens, word_hashes
 from .components import components
-from .packed import SCHEMA, Packer, reduce_buckets, runs
-
-#: Cells of the coarse and the fine counts, whose distance bounds that of two sets from below; counts stop at 255.
-SKETCH, FINE = 64, 512
-#: Members of the groups that are compared where they meet, and of the blocks of larger ones.
-SMALL, BLOCK = 32, 1024
-#: What travels with a set's signatures: its size and coarse counts, cut off at 255.
-OWNER = np.dtype([("id", np.int64), ("n", np.int64), ("sketch", np.uint8, SKETCH)])
-#: Pairs for which one copy of a set's shingles is sent.
-PART = 2000
-#: Rounds of verification, the last of which takes all pairs that are left.
-ROUNDS = 4
-#: The pairs of a partition's three cells.
-PAIRS = ((0, 1), (0, 2), (1, 2))
+from .packed import RECORDS, SCHEMA, Packer, buckets_for, dealt, reduce_buckets, reduce_parts, runs
+
+#: Cells of the counts whose distance bounds that of two sets from below; counts stop at 255.
+FINE = 512
+#: Members of the blocks in which a pivot's members are compared.
+BLOCK = 1024
+#: What travels with a set's signatures: the one of the least rank is its group's pivot.
+OWNER = np.dtype([("id", np.int64), ("rank", np.uint32)])
+COUNTED = np.dtype([("high", np.int64), ("shared", np.int32), ("own", np.bool_)])
+#: What stands for all owners of a shingle that a mapper has found twice; the ids of sets are even.
+MANY = 1
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -38,10 +39,11 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return distinct(grams(word_hashes(tokens(text)), words))
 
 
-def set_key(own: np.ndarray) -> int:
-    """An id of a whole set: equal sets have equal ids."""
-    total = int(mix(own ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)) + len(own)
-    return int(mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
+def set_key(own: np.ndarray) -> tuple[int, int]:
+    """An id of a whole set, in two numbers of 64 bits: equal sets have equal ids. The first is even."""
+    sums = [mix(own ^ np.uint64(c)).sum(dtype=np.uint64) for c in (0x5DEECE66D, 0xA24BAED4963EE407)]
+    high, low = mix(np.array(sums, np.uint64) + np.uint64(len(own))).view(np.int64).tolist()
+    return high & ~1, low
 
 
 def bands(percent: int, most: int) -> list[int]:
@@ -52,132 +54,157 @@ def bands(percent: int, most: int) -> list[int]:
     return [*out, out[-1] * 100 // percent + 1, (out[-1] * 100 // percent + 1) * 100 // percent + 1]
 
 
-def partitions(instance: int, first: list[int], percent: int) -> tuple[int, int]:
-    """(n1, slack) of the instance over bands instance and instance + 1, whose largest size bounds the difference of a pair by k.
+@functools.lru_cache(maxsize=1024)
+def partitions(low: int, high: int, percent: int) -> tuple[int, int, int, int]:
+    """(n1, k2, n2, good): partitions, the features in which one may differ, its cells, and how many partitions of a pair differ in no more.
 
-    At most k // 2 partitions differ in two features or more, so at least slack + 1 of these n1 have a shared pair of cells.
+    The smaller set of a pair has low to high shingles, which bounds the size of a linking pair's difference by k. A
+    small k is taken by one partition, a larger one by about k / 2 of them with 4 cells.
     """
-    k = 2 * (first[instance + 2] - 1) * (100 - percent) // (100 + percent)
-    least = k // 2 + 1
-    slack = -(-least // 3) + 1
-    return least + slack, slack
+    k = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
+    if k <= 4:
+        return 1, k, k + 3 if k else 1, 1
+    bad = k // 2
+    n1 = bad + 1
+    while 100 * (n1 - bad) < 100 + 15 * n1:
+        n1 += 1
+    return n1, 1, 4, n1 - bad
 
 
 def signatures(own: np.ndarray, first: list[int], percent: int) -> np.ndarray:
-    """The signatures of a set in the instances of its band and of the one below.
+    """The signatures of a set in the instances of its band and of the one below, where it is the smaller or the larger set of a pair.
 
-    A pair of empty cells would be shared by everything sparse. A set with at most `slack` partitions that have such a
-    pair leaves those out: one of its slack + 1 good partitions remains. A set with more sends all.
+    A signature is a partition, all but k2 of its cells, and what they hold. Cells without any shingle would be shared by everything
+    sparse. A set leaves such signatures out if fewer than `good` partitions have all their shingles in k2 cells: then of those in
+    which a pair differs in no more than k2 features one has another cell with a shingle, and that cell is equal in both. A
+    set with more sends all.
     """
     band = int(np.searchsorted(first, len(own), "right")) - 1
     out = []
     for instance in range(max(0, band - 1), band + 1):
-        n1, slack = partitions(instance, first, percent)
+        n1, k2, n2, good = partitions(first[instance], first[instance + 1] - 1, percent)
         salted = mix(own + np.uint64((instance + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        cell = (salted % np.uint64(3 * n1)).astype(np.int64)
-        content = np.zeros(3 * n1, np.uint64)
+        cell = (salted % np.uint64(n1 * n2)).astype(np.int64)
+        content = np.zeros(n1 * n2, np.uint64)
         np.add.at(content, cell, mix(salted + np.uint64(1)))
-        content, size = content.reshape(n1, 3), np.bincount(cell, minlength=3 * n1).reshape(n1, 3)
-        empty = np.stack([(size[:, a] + size[:, b]) == 0 for a, b in PAIRS], axis=1)
-        tag = mix(np.arange(3 * n1, dtype=np.uint64) + np.uint64(instance << 32)).reshape(n1, 3)
-        codes = mix(np.stack([content[:, a] * np.uint64(3) + mix(content[:, b] + np.uint64(7)) for a, b in PAIRS], axis=1) + tag)
-        out.append(codes[~empty] if empty.any(axis=1).sum() <= slack else codes.ravel())
+        content = mix(content.reshape(n1, n2) + mix(np.arange(1, n2 + 1, dtype=np.uint64)))
+        size = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+        without = np.array(list(itertools.combinations(range(n2), k2)), np.int64).reshape(math.comb(n2, k2), k2)
+        codes = content.sum(axis=1)[:, None] - content[:, without].sum(axis=2)
+        empty = size.sum(axis=1)[:, None] == size[:, without].sum(axis=2)
+        tags = mix(np.arange(codes.size, dtype=np.uint64) + np.uint64(instance << 32))
+        codes = mix(codes.ravel() + tags)
+        thin = int(((size > 0).sum(axis=1) <= k2).sum())
+        out.append(codes[~empty.ravel()] if thin < good else codes)
     return np.concatenate(out)
 
 
 def _of_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row."""
+    """(doc_id, n_shingles, high, low) of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             sets = [shingles(t, words) for t in blobs(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            keys = [set_key(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[x] for k in keys], pa.int64()) for x in (0, 1))], ["doc_id", "n_shingles", "high", "low"])
 
-    return docs.mapInArrow(measure, "doc_id long, n_shingles long, set_id long")
+    return docs.mapInArrow(measure, "doc_id long, n_shingles long, high long, low long")
 
 
-def _shared_counts(docs: DataFrame, words: int) -> DataFrame:
-    """(set_id, shared): how many of a set's shingles another set has, too, in the buckets where that is a quarter of the set's at least.
+def _shared_counts(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """(high, shared): at least how many of a set's shingles another set has, too, found where shingles meet; where hashes meet it is too large.
 
-    If q of a set's n shingles are shared, the other buckets hold at most (n - q) * 4 / 3 of its shingles, of which a quarter are
-    shared; so shared is at least q - (n - q) / 3. Where hashes meet it is too large. Sets that share a line or two send next to nothing.
+    A mapper counts shingles that several of its own sets have and sends one entry for all of them, so a shingle of a third of all
+    documents is an entry a filling. A set that several mappers have takes the least of their counts, as buckets count what any of them sent.
+    A bucket tells of a set when a quarter of the set's entries there are shared: if q of n are, the other buckets hold at most (n - q) * 4 / 3 entries, of which a
+    quarter are shared; so shared is at least q - (n - q) / 3. Sets that share a line or two send next to nothing.
     """
-    buckets = shuffles(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(buckets), set()
+        packer, seen = Packer(buckets, bits=27), set()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if not packer.n:
+                return
+            entries, ids = packer.take()
+            at, n = runs(entries >> np.uint64(16))
+            several = np.repeat(n > 1, n)
+            place = (entries & np.uint64(0xFFFF)).astype(np.int64)
+            own = np.bincount(place[several], minlength=len(ids))
+            many = at[n > 1]
+            entries[many] = entries[many] & ~np.uint64(0xFFFF) | np.uint64(len(ids))
+            several[many] = False
+            yield from packer.pack(entries[~several], np.append(ids, np.int64(MANY)))
+            bucket = int(own.sum()) % buckets
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([-1], pa.int32()), pa.array([own.astype("<i4").tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([ids.tobytes()], pa.binary())], ["bucket", "n", "gaps", "owners", "ids"])
+
         for batch in in_slices(batches):
             for text in blobs(batch.column(1)):
                 own = shingles(text, words)
-                if len(own) and (key := set_key(own)) not in seen:
+                if len(own) and (key := set_key(own)[0]) not in seen:
                     seen.add(key)
                     packer.add(key, own)
                     if packer.full():
-                        yield from packer.rows()
-        yield from packer.rows()
+                        yield from rows()
+        yield from rows()
+
+    def count(keys: np.ndarray, owner: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, n = runs(keys)
+        every, shared = np.bincount(owner, minlength=len(sets)), np.bincount(owner[np.repeat(n > 1, n)], minlength=len(sets))
+        keep = (4 * shared >= every) & (sets != MANY) & (shared > 0)
+        yield from told_of(sets[keep], shared[keep], False)
+
+    def aside(gaps: bytes, ids: bytes) -> Iterator[pa.RecordBatch]:
+        yield from told_of(np.frombuffer(ids, np.int64), np.frombuffer(gaps, "<i4"), True)
 
-    def count(keys: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first, n = runs(keys)
-        sets, which = np.unique(owner, return_inverse=True)
-        every, shared = np.bincount(which), np.bincount(which, np.repeat(n > 1, n)).astype(np.int64)
-        keep = 4 * shared >= every
-        sets, shared = sets[keep], shared[keep]
-        if len(sets):
-            yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(shared.astype(np.int64))], ["set_id", "shared"])
+    def told_of(sets: np.ndarray, shared: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
+        table = np.empty(len(sets), COUNTED)
+        table["high"], table["shared"], table["own"] = sets, shared, own
+        yield from dealt(table, (mix(sets.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets)
 
-    return reduce_buckets(docs.mapInArrow(send, SCHEMA), buckets, count, "set_id long, shared long").groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    def summed(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets, which = np.unique(table["high"], return_inverse=True)
+        met, least, own = np.zeros(len(sets), np.int64), np.full(len(sets), 2**62), table["own"]
+        np.add.at(met, which[~own], table["shared"][~own])
+        np.minimum.at(least, which[own], table["shared"][own])
+        yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(met + least)], ["high", "shared"])
+
+    counted = reduce_buckets(docs.mapInArrow(send, SCHEMA), buckets, count, RECORDS, aside=aside)
+    return reduce_parts(counted, buckets, COUNTED, summed, "high long, shared long")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, shingles, sketch) of each wanted (set_id, rep): read anew from the text of its document rep."""
-    joined = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("set_id", "text")
+    """(set_id, n, rank, shingles, sketch) of each wanted (set_id, high, low, rank): read anew from the text of the document set_id."""
+    joined = docs.join(wanted, docs["doc_id"] == wanted["set_id"]).select("set_id", "high", "low", "rank", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 128):
-            keys, sets, seen = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+            keys, sets, seen, ranks = [], [], [], []
+            for key, high, low, rank, text in zip(*(c.to_pylist() for c in batch.columns[:4]), blobs(batch.column(4))):
                 own = shingles(text, words)
-                if len(own) and set_key(own) == key:  # else another row of the same doc_id
+                if len(own) and set_key(own) == (high, low):  # else another row of the same doc_id
                     keys.append(key)
+                    ranks.append(rank)
                     sets.append(own.view(np.int64))
                     seen.append(np.minimum(np.bincount((mix(own) % np.uint64(FINE)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, sets)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat, pa.array(seen, pa.binary())], ["set_id", "n", "shingles", "sketch"])
-
-    return joined.mapInArrow(measure, "set_id long, n long, shingles array<long>, sketch binary")
-
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ranks, pa.int64()), flat, pa.array(seen, pa.binary())], ["set_id", "n", "rank", "shingles", "sketch"])
 
-def _coarse(fine: bytes) -> np.ndarray:
-    """Sums of the fine counts that fall together, again up to 255."""
-    return np.minimum(np.frombuffer(fine, np.uint8).reshape(-1, SKETCH).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+    return joined.mapInArrow(measure, "set_id long, n long, rank long, shingles array<long>, sketch binary")
 
 
-def _near(records: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of owners may link: by their sizes, and by the distance of their coarse counts, which that of the sets can't be below."""
-    out = np.zeros(len(a), bool)
-    n, sketch = records["n"], records["sketch"]
-    for k in range(0, len(a), 1 << 17):
-        i, j = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
-        fit = np.flatnonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[fit], j[fit]
-        apart = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1, dtype=np.int64)
-        out[k + fit[apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]] = True
-    return out
+def _stars(sets: DataFrame, first: list[int], percent: int, buckets: int) -> DataFrame:
+    """(a, b): for every group of sets that share a signature, each member a with the group's pivot b, the member of the least rank.
 
-
-def _met(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
-    """(gid, a, b, star, size): what shares signatures. Rows without gid are pairs that may link, star where one of them is the middle of a group;
-    rows with one are the members a of a group of more than SMALL, with its middle b, star where those may link. Groups of a bucket with the same members count once.
-    The middle is the member whose coarse counts are nearest the group's mean: copies are edits of something near it."""
-    buckets = shuffles(sets.sparkSession)
+    Ranks hold for all groups alike, so a set meets few pivots however many signatures it has: n sets that are near copies give about n pairs.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, OWNER)
-        for batch in batches:
-            for key, own, sketch in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                own = np.asarray(own.values).view(np.uint64)
-                packer.add((key, len(own), _coarse(sketch)), signatures(own, first, percent))
+        for batch in in_slices(batches):
+            for key, rank, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                packer.add((key, rank), signatures(np.asarray(own.values).view(np.uint64), first, percent))
                 if packer.full():
                     yield from packer.rows()
         yield from packer.rows()
@@ -188,61 +215,31 @@ def _met(sets: DataFrame, first: list[int], percent: int) -> DataFrame:
         owner, n = owner[keep], n[n > 1]
         if not len(n):
             return
-        at = np.append(0, np.cumsum(n)[:-1])
-        ids = records["id"]
-        gid = mix(np.add.reduceat(mix(ids[owner].view(np.uint64)), at) + n.astype(np.uint64))
-        _, one = np.unique(gid, return_index=True)
-        pairs: list[np.ndarray] = []
-        for size in np.unique(n[one]).tolist():
-            where = at[one[n[one] == size]]
-            if size > SMALL:
-                for group, g in zip(where.tolist(), gid[one[n[one] == size]].view(np.int64).tolist()):
-                    a = owner[group : group + size]
-                    b = np.full(size, a[_middles(records["sketch"][a][None])[0]])
-                    yield _rows(np.full(size, g), ids[a], ids[b], _near(records, a, b, percent), size)
-                continue
-            members = owner[where[:, None] + np.arange(size)]
-            middle = np.concatenate([_middles(records["sketch"][members[k : k + 4096]]) for k in range(0, len(members), 4096)])
-            for i in range(size - 1):
-                a, b = np.repeat(members[:, i], size - 1 - i), members[:, i + 1 :].ravel()
-                star = (middle[:, None] == i) | (middle[:, None] == np.arange(i + 1, size))
-                pairs.append(distinct((a << 33) | (b << 1) | star.ravel()))
-                if len(pairs) >= 64:
-                    pairs = [distinct(np.concatenate(pairs))]
-        if pairs:
-            code = distinct(np.concatenate(pairs))
-            code = code[np.append(code[1:] >> 1 != code[:-1] >> 1, True)]  # of a pair's two codes the one with star
-            a, b = code >> 33, (code >> 1) & 0xFFFFFFFF
-            fit = _near(records, a, b, percent)
-            for k in range(0, int(fit.sum()), 100_000):
-                part = np.flatnonzero(fit)[k : k + 100_000]
-                yield _rows(None, ids[a[part]], ids[b[part]], (code[part] & 1).astype(bool), 2)
-
-    packed = sets.select("set_id", "shingles", "sketch").mapInArrow(send, SCHEMA)
-    return reduce_buckets(packed, buckets, meet, "gid long, a long, b long, star boolean, size long", OWNER)
-
-
-def _middles(sketches: np.ndarray) -> np.ndarray:
-    """For each group of sketches (groups, members, cells) the member nearest the mean."""
-    mean = sketches.mean(axis=1, keepdims=True, dtype=np.float32)
-    return np.abs(sketches - mean).sum(axis=2).argmin(axis=1)
-
-
-def _rows(gid: np.ndarray | None, a: np.ndarray, b: np.ndarray, star: np.ndarray, size: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if gid is None else pa.array(gid), pa.array(a), pa.array(b), pa.array(star), pa.array(np.full(len(a), size))], ["gid", "a", "b", "star", "size"])
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame, c: str, slim: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """pairs (the same as in slim) with columns of the set in column c. The sets lie in buckets by set_id, so only those asked for move; one that is in many pairs is dealt out in several copies, each for PART pairs or so."""
-    asked = slim.groupBy(c).agg(F.count("*").alias("many")).select(F.col(c).alias("set_id"), F.ceil(F.col("many") / PART).cast("int").alias("parts"))
-    copies = sets.select("set_id", *columns).join(asked, "set_id").select(F.col("set_id").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"), *(F.col(k).alias(f"{k}_{c}") for k in columns))
-    dealt = pairs.join(asked.withColumnRenamed("set_id", c), c).withColumn("__part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).drop("parts")
-    return dealt.join(copies, [c, "__part"]).drop("__part")
+        place = np.empty(len(records), np.int64)
+        place[np.lexsort((records["id"], records["rank"]))] = np.arange(len(records))
+        owner = place[owner]
+        pivot = np.repeat(np.minimum.reduceat(owner, np.append(0, np.cumsum(n)[:-1])), n)
+        code = distinct((owner << 32 | pivot)[owner != pivot])
+        ids = np.empty(len(records), np.int64)
+        ids[place] = records["id"]
+        for k in range(0, len(code), 100_000):
+            part = code[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part >> 32]), pa.array(ids[part & 0xFFFFFFFF])], ["a", "b"])
+
+    packed = sets.select("set_id", "rank", "shingles").mapInArrow(send, SCHEMA)
+    return reduce_buckets(packed, buckets, meet, "a long, b long", OWNER).distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with columns of both sets. The sets lie in buckets by set_id, so only the pairs move; those of one set that is in many are split by Spark's skew join."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("set_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in columns)), c)
+    return pairs
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Fine counts, a tenth of the shingles' bytes, go first and leave few other pairs."""
-    both = _with_sets(_with_sets(pairs, sets, "a", pairs, ("n", "sketch")), sets, "b", pairs, ("n", "sketch")).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    both = _with_sets(pairs, sets, "n", "sketch").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,119 +249,93 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     near = cut(both.select("a", "b", "sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).mapInArrow(compare, "a long, b long"), "near")
-    both = _with_sets(_with_sets(near, sets, "a", near, ("n", "shingles")), sets, "b", near, ("n", "shingles"))
-    counted = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long").alias("common"))
+    counted = _with_sets(near, sets, "n", "shingles").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long").alias("common"))
     return counted.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    """df, one row for each set_id, as a table in as many buckets by set_id as shuffles have partitions, in the shared folder."""
+def _bucketed(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, one row for each set_id, as a table in as many buckets by set_id as shuffles have partitions, in the shared folder; and its name."""
     spark, name = df.sparkSession, f"prismora_sets_{uuid.uuid4().hex}"
     n = shuffles(spark)
     df.repartition(n, "set_id").dropDuplicates(["set_id"]).write.bucketBy(n, "set_id").sortBy("set_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the members (gid, set_id, label, n, sketch, size) of a group that have different labels and may link.
+def _across(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one pivot's members that are in different components and may link, by their sizes and the distance of their counts.
 
-    A group is compared in blocks of BLOCK by BLOCK members, each a task's unit of work that holds no more than
-    those; only pairs whose coarse counts differ by no more than a link allows are written.
+    Of such a pair one member at least is outside the pivot's most common component. Those are compared with all the others in blocks of
+    BLOCK by BLOCK members, each a task's unit of work that holds no more than those.
     """
-    width = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = members.withColumn("width", width).withColumn("at", F.pmod(F.xxhash64("set_id"), F.col("width")).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("x", F.least("at", "other")).withColumn("y", F.greatest("at", "other"))
+    of = labels.select(F.col("id").alias("a"), "label")
+    members = cut(stars.join(of, "a", "left").select(F.col("b").alias("pivot"), F.col("a").alias("set_id"), F.coalesce("label", "a").alias("label")), "members")
+    each = members.groupBy("pivot", "label").agg(F.count("*").alias("n"))
+    size = each.groupBy("pivot").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most")).where("kinds > 1")
+    width = size.select("pivot", "top", F.ceil(F.col("n") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("high"))
+    own = members.join(width, "pivot").join(sets.select("set_id", "n", "sketch"), "set_id").withColumn("loose", F.col("label") != F.col("top"))
+    at = lambda c: F.pmod(F.xxhash64("set_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    names = ("pivot", "x", "y", "left", "loose", "set_id", "label", "n", "sketch")
+    left = own.where("loose").withColumn("left", F.lit(True)).withColumn("x", at("high")).withColumn("y", every("wide")).select(*names)
+    right = own.withColumn("left", F.lit(False)).withColumn("y", at("wide")).withColumn("x", every("high")).select(*names)
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids, label, n, at = (table.column(c).to_numpy() for c in ("set_id", "label", "n", "at"))
-        sketch = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]).astype(np.int32)
-        x, y = key[1].as_py(), key[2].as_py()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        left, right = np.flatnonzero(at == x), np.flatnonzero(at == y)
-        for i in left.tolist():
-            j = right[(label[right] != label[i]) & ((x != y) | (ids[right] > ids[i]))]
-            j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
-            if len(j):
-                apart = np.abs(sketch[j] - sketch[i]).sum(axis=1)
-                j = j[apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
-                found.append((np.full(len(j), ids[i]), ids[j]))
-        a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        ids, label, n, loose, is_left = (table.column(c).to_numpy() for c in ("set_id", "label", "n", "loose", "left"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int16)
+        found = [np.zeros((2, 0), np.int64)]
+        others = np.flatnonzero(~is_left)
+        others = others[np.argsort(n[others], kind="stable")]
+        sizes = n[others]
+        for i in np.flatnonzero(is_left).tolist():
+            j = others[np.searchsorted(100 * sizes, percent * n[i]) : np.searchsorted(percent * sizes, 100 * n[i], "right")]
+            j = j[(label[j] != label[i]) & (~loose[j] | (ids[j] > ids[i]))]
+            for k in range(0, len(j), 256):
+                part = j[k : k + 256]
+                apart = np.abs(sketch[part] - sketch[i]).sum(axis=1, dtype=np.int64)
+                part = part[apart * (100 + percent) <= (n[i] + n[part]) * (100 - percent)]
+                found.append(np.stack([np.full(len(part), ids[i]), ids[part]]))
+        a, b = np.concatenate(found, axis=1)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return spread.groupBy("gid", "x", "y").applyInArrow(compare, "a long, b long").distinct()
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, label_a, label_b): the pairs that aren't in one component yet."""
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return joined.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")).where("label_a <> label_b")
-
-
-def _merged(rest: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) with what the pairs `rest` add. First one pair for each two components is verified, again and again, as most then are one; at last all that are still apart."""
-    for k in range(ROUNDS):
-        rest = cut(_apart(rest.select("a", "b"), labels), "rest")
-        if rest.isEmpty():
-            break
-        if k < ROUNDS - 1:
-            chosen = rest.groupBy(F.least("label_a", "label_b").alias("x"), F.greatest("label_a", "label_b").alias("y")).agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.*")
-        else:
-            chosen = rest.select("a", "b")
-        chosen = cut(chosen, "chosen")
-        more = cut(_verified(chosen, sets, percent), "links")
-        rest = rest.select("a", "b").join(chosen, ["a", "b"], "left_anti")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-    return links, labels
+    return left.unionByName(right).groupBy("pivot", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs; exact.
+    """(doc_id, n_shingles, component_id) of every row of docs; exact, up to shingles and sets whose hashes (64 and 127 bits) are equal.
 
     A document's set is its distinct shingles of `words` words; with fewer words, the whole sequence; with none, it is
     empty (null and empty texts), linked with nothing, and its own component. Two documents link when
     100 * intersection >= percent * union. component_id is the smallest doc_id reachable. Rows with equal ids are
-    placed each by its own text; a row with a null id keeps a null component and links nothing. Other columns are ignored.
+    placed each by its own text; a row with a null id keeps a null component and links nothing. Other columns are ignored. An
+    empty table gives no rows; a text of any length is one set, held by one task.
 
     Steps, each written to the shared folder: equal sets become one; sets of which too few shingles occur in
-    another set can't link and go (an exact condition); the others get PartEnum signatures; what shares one is
-    first compared by coarse counts. Members of a signature are verified against its first member; where a group then still holds
-    several components, every pair across them is compared, in blocks where the group is large. Of a large group no pair
-    inside a component is listed, so n copies cost n comparisons.
+    another set can't link and go (a necessary condition); the others get PartEnum signatures. Each set that shares a signature is
+    verified against the group's pivot. Two sets that link either are a pivot and its member, or are members of one pivot: of the pivots
+    whose members then are in several components, those pairs are compared that are not in one, by their counts and then as sets.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = cut(_of_sets(own, words), "sets")
-    reps = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    reps = rows.where("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("set_id"), F.max("n_shingles").alias("n"))
     reps = cut(reps, "reps")
-    shared = _shared_counts(own.where("doc_id is not null"), words)
+    shared = _shared_counts(own.where("doc_id is not null"), words, buckets_for(spark, rows.agg(F.sum("n_shingles")).first()[0] or 0))
     enough = f"300 * shared >= {4 * percent - 100} * n"  # q >= percent / 100 * n in q - (n - q) / 3
-    wanted = cut(reps.join(shared, "set_id").where(enough).select("set_id", "rep", "n"), "wanted")
-    # a filter made of the wanted ids keeps other texts from being shuffled; Spark leaves it out where they are too many for it
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "8MB")
-    sets = _bucketed(_fetch(own, wanted.where("n > 0").select("set_id", "rep"), words))
-    most = wanted.agg(F.max("n")).first()[0] or 1
-    met = cut(_met(sets, bands(percent, most), percent), "met")
-    pairs = met.where("a <> b and (gid is null or star)").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
-    pairs = cut(pairs, "pairs")
-    links = cut(_verified(cut(pairs.where("star").select("a", "b"), "stars"), sets, percent), "links")
+    rank = F.floor(F.greatest(F.col("n") - F.col("shared"), F.lit(0)) * 15 / F.col("n")) * (1 << 28) + F.shiftrightunsigned(F.xxhash64("set_id"), 36)
+    wanted = cut(reps.join(shared, "high").where(enough).select("set_id", "high", "low", "n", rank.alias("rank")), "wanted")
+    with settings(spark, FILTERED):
+        sets, table = _bucketed(_fetch(own, wanted.where("n > 0").select("set_id", "high", "low", "rank"), words))
+    most, entries = wanted.agg(F.max("n"), F.sum("n")).first()
+    stars = cut(_stars(sets, bands(percent, most or 1), percent, buckets_for(spark, 2 * (entries or 0))), "stars")
+    links = cut(_verified(stars, sets, percent), "links")
     labels = components(links)
-    rest = cut(_apart(pairs.where("not star").select("a", "b"), labels), "rest")
-    links, labels = _merged(rest, links, labels, sets, percent)
-    groups = met.where("gid is not null").select("gid", F.col("a").alias("set_id"), "size").dropDuplicates(["gid", "set_id"])
-    labelled = groups.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    labelled = cut(labelled, "labelled")
-    mixed = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
-    left = labelled.join(mixed, "gid").join(sets.select("set_id", "n", "sketch"), "set_id")
-    tried = pairs.select("a", "b")
-    across = cut(_across(left, percent).join(tried, ["a", "b"], "left_anti"), "across")
-    links, labels = _merged(across, links, labels, sets, percent)
-    placed = cut(reps.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("label")), "placed")
-    least = placed.groupBy("label").agg(F.min("rep").alias("set_component"))
-    by_set = placed.join(least, "label").select("set_id", "set_component")
-    joined = rows.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("set_component", "doc_id")).alias("component_id"))
-    return joined
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = cut(_across(stars, labels, sets, percent).join(tried, ["a", "b"], "left_anti"), "across")
+    more = cut(_verified(across, sets, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    spark.sql(f"DROP TABLE {table}")  # its files stay with the other cut points
+    placed = cut(reps.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left").select("high", "low", F.coalesce("label", "set_id").alias("label")), "placed")
+    joined = rows.join(placed, ["high", "low"], "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
