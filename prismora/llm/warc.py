@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -90,7 +90,10 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of the rows whose html has the same bytes, at least least_bytes, the one of the smallest page_id is a response
     and the others revisit it by digest and id, without a payload; shorter ones are all responses. Null html is
-    empty. Which rows are revisits is settled on (id, digest) rows before the html is joined by id, so a payload that
+    empty. Repeated rows of a page_id go each by its own payload: of rows with equal id and payload, all are responses where the id is the
+    payload's smallest, as they name no other record. Rows with a null page_id are responses unless another row has
+    the payload. An empty table gives no archives; columns with other names are ignored. A payload of any length is one record, held by one task. Which rows are revisits is
+    settled on (id, digest) rows before the html is joined by these, so a payload that
     a third of the pages share moves no html to one place; rows of one digest are counted down to their
     first before they meet.
     """
@@ -99,8 +102,12 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"))
     slim = cut(own.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= least_bytes), "digests")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = slim.join(first, "digest").where(F.col("page_id") != F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
-    joined = own.join(revisits, "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    revisits = slim.join(first, "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), "digest", F.col("first").alias("refers_to")).distinct()
+    named = own.withColumn("digest", F.sha1("payload"))
+    same = named["page_id"].eqNullSafe(revisits["id"]) & (named["digest"] == revisits["digest"])
+    joined = named.join(revisits, same, "left").select("page_id", "url", "payload", "refers_to", F.expr("uuid()").alias("record"))
+
+    date = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -110,9 +117,9 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha1(data).hexdigest()}.warc.gz"]), pa.array([data], pa.binary())], ["name", "archive"])
 
         for batch in in_slices(batches):
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, refers_to, one in zip(*(c.to_pylist() for c in batch.columns)):
                 digest = base32_sha1(payload)
-                headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+                headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{one}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
                 headers += [("X-Page-ID", str(page_id))] if page_id is not None else []
                 headers += [("WARC-Target-URI", " ".join(url.split()))] if url else []
                 if refers_to is not None:

@@ -145,3 +145,22 @@ def test_queries_equal_their_sql(spark, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert collections.Counter(map(tuple, df.select(*names).collect())) == collections.Counter(found.fetchall())
+
+
+def test_warc_of_repeated_page_ids(spark):
+    """A row goes by its own payload: page 5 has one that page 3 has, too, and one of its own."""
+    rows = [(3, "u", "A"), (5, "u", "A"), (5, "u", "B"), (7, "u", "C"), (7, "u", "C"), (None, "u", "A"), (None, "u", "D")]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert collections.Counter((r.page_id, bytes(r.payload or b""), r.record_type, r.refers_to) for r in got) == collections.Counter([(3, b"A", "response", None), (5, b"", "revisit", 3), (5, b"B", "response", None), (7, b"C", "response", None), (7, b"C", "response", None), (None, b"", "revisit", 3), (None, b"D", "response", None)])
+
+
+def test_long_texts_go_through_tiles(spark):
+    docs = spark.createDataFrame([(k, f"text {k} " * 20_000) for k in range(12)], "doc_id long, text string")
+    media = tiff.encode_texts(docs).select("id", "media")
+    pages = tiff.tiff_pages(media, "id", "media").collect()
+    assert {r.layout for r in pages} == {"tiles", "strips"} and all(bytes(r.pixels).rstrip(b"\0").decode() == f"text {r.id} " * 20_000 for r in pages)
+
+
+def test_strips_that_claim_less_than_they_hold():
+    data = b"x" * 100_000
+    assert len(tiff.packbits_decode(tiff.packbits_encode(data), 50)) < 300 and len(tiff.lzw_decode(tiff.lzw_encode(data), 50)) < 9000
