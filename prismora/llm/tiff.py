@@ -62,12 +62,13 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) >= 12 - widths[:, None]]).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = 0) -> bytes:
+    """Stops once there are `most` bytes, if given."""
     bits = np.unpackbits(np.frombuffer(data, np.uint8))
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     out: list[bytes] = []
-    at = 0
-    while at + 9 <= len(bits):
+    at = size = 0
+    while at + 9 <= len(bits) and not (most and size >= most):
         n = int(np.searchsorted(_END, len(bits) - at, "right"))
         width, end = _WIDTH[:n], at + _END[:n]
         padded = np.zeros((n, 12), np.uint8)
@@ -91,6 +92,9 @@ def lzw_decode(data: bytes) -> bytes:
                 raise ValueError(f"LZW code {code} is beyond the table")
             out.append(entry)
             previous = entry
+            size += len(entry)
+            if most and size >= most:
+                break
         if not len(stop) or codes[last] == EOI:
             break
         at = int(end[last])
@@ -116,9 +120,10 @@ def packbits_encode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = 0) -> bytes:
+    """Stops once there are `most` bytes, if given."""
     out: list[bytes] = []
-    at = 0
+    at = size = 0
     while at < len(data):
         n = data[at]
         if n < 128:
@@ -129,6 +134,9 @@ def packbits_decode(data: bytes) -> bytes:
             at += 2
         else:
             at += 1
+        size += len(out[-1]) if n != 128 else 0
+        if most and size >= most:
+            break
     return b"".join(out)
 
 
@@ -144,9 +152,9 @@ def _decode(data: bytes, compression: int, most: int) -> bytes:
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression in (ADOBE_DEFLATE, DEFLATE):
         return inflate(data, most)
     raise ValueError(f"compression {compression} isn't known")
@@ -306,7 +314,7 @@ def tiff_pages(media: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
     Pixels are the decoded samples, row by row, in the machine's little-endian order. A file or page that can't be
     read, null content included, gives a row with error instead of failing the job; pages before it stay. Rows
-    repeat as the input does; other columns are ignored. Narrow: no shuffle, memory bounded by one file.
+    repeat as the input does; other columns are ignored; an empty table gives no rows. Narrow: no shuffle, memory bounded by one file and its pages, whatever a compressed strip claims.
     """
     bounded_batches(media.sparkSession, 128)
     kind = media.schema[id_col].dataType.simpleString()
@@ -345,7 +353,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, media): each text's UTF-8 bytes, padded with 0 to a positive multiple of width, as the samples of a one-page 8-bit TIFF.
 
     The bytes' checksum picks the coding, so equal texts give equal files and all codings are in use.
-    Null is empty. Narrow.
+    Null is empty; repeated rows and null ids stay; other columns are ignored; an empty table gives no rows. A text of any length is one file. Narrow.
     """
     bounded_batches(docs.sparkSession, 128)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -360,7 +368,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 pixels = np.frombuffer(padded, np.uint8).reshape(-1, width, 1)
                 compression = (PACKBITS, LZW, ADOBE_DEFLATE)[pick % 3]
                 tile = (0, 16)[pick // 3 % 2]
-                media = write_tiff([Page(pixels, compression, 1 + pick // 6 % 2, tile if len(padded) <= 1 << 16 else 0, 128)], "<>"[pick // 12 % 2])
+                media = write_tiff([Page(pixels, compression, 1 + pick // 6 % 2, tile, 128)], "<>"[pick // 12 % 2])
                 keys.append(key)
                 lengths.append(len(text))
                 files.append(media)
