@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import MULTIPLIER, blobs, bounded_batches, mix, shuffles, tokens, word_hashes
 
 #: The base's additive constant, the weight S of shorter contexts, and the longest n-gram.
-ADD, SHORTER, ORDER = 0.1, 4.0, 2
+ADD, SHORTER, ORDER = 0.1, 4.0, 3
 #: Bytes of text in a block, at most but for a text that is longer.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: The hash of the token that ends a text.
 END = np.uint64(0xE0DE0DE0DE0DE0DE)
 #: Bytes of a key that travel within its bucket: 48 bits tell a bucket's n-grams apart.
@@ -70,16 +70,21 @@ class Block:
 
 
 def _sent(keys: np.ndarray, buckets: int) -> bytes:
-    """Sorted keys as byte planes, of which the high ones compress well."""
-    within = keys // np.uint64(buckets)
-    return np.ascontiguousarray(within.view(np.uint8).reshape(len(keys), 8).T[:KEY_BYTES]).tobytes()
+    """Byte planes of the gaps between sorted keys, as many as the largest gap needs."""
+    if not len(keys):
+        return b""
+    within = keys // np.uint64(buckets) & np.uint64((1 << 8 * KEY_BYTES) - 1)
+    gaps = np.diff(within, prepend=np.uint64(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(len(keys), 8).T[:width]).tobytes()
 
 
 def _got(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n:
-        out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(KEY_BYTES, n).T
-    return out.view(np.uint64).ravel()
+        width = len(data) // n
+        out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _narrow(counts: np.ndarray) -> bytes:
