@@ -15,6 +15,8 @@ from .common import blobs, bounded_batches, in_slices
 ITEM_WORDS, LEAK = 3, 0.5
 #: The scores of a match, a mismatch and a gap.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Bits of the place where an alignment starts, an item's word times the words of a stretch.
+_START_BITS = 44
 #: Items and their bytes that go to the workers at a time; a larger benchmark is searched for in several passes.
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
 
@@ -24,29 +26,25 @@ LEAKS = "doc_id long, item_id long, score double, start_word long, end_word long
 def align(query: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int, int]:
     """(score, start, end, start in text, end in text) of the best local alignment; one numpy step for each word of query.
 
-    A gap along the text is a running maximum: the best score so far, less the distance.
+    A gap along the text is a running maximum: the best score so far, less the distance. A cell holds its score and, below it, where
+    its alignment starts, so no table is kept: memory is that of two rows. Of equal scores the later start wins, and the earlier end.
     """
     n = len(text)
-    far = np.arange(n + 1)
-    above = np.zeros(n + 1, np.int64)
-    table = np.zeros((len(query) + 1, n + 1), np.int64)
+    unit = 1 << _START_BITS
+    far = np.arange(n + 1) * (GAP * unit)
+    above = np.arange(n + 1)
+    best = (0, 0, 0, 0)
     for i, word in enumerate(query.tolist(), 1):
-        row = np.zeros(n + 1, np.int64)
-        row[1:] = np.maximum(above[:-1] + np.where(text == word, MATCH, MISMATCH), above[1:] + GAP)
-        np.maximum(row, 0, out=row)
-        above = np.maximum.accumulate(row - GAP * far) + GAP * far
-        table[i] = above
-    i, j = np.unravel_index(table.argmax(), table.shape)
-    best, end, end_text = int(table[i, j]), int(i), int(j)
-    while table[i, j] > 0:
-        here = table[i, j]
-        if i and j and here == table[i - 1, j - 1] + (MATCH if query[i - 1] == text[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif i and here == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, int(i), end, int(j), end_text
+        row = above + GAP * unit
+        np.maximum(row[1:], above[:-1] + np.where(text == word, MATCH * unit, MISMATCH * unit), out=row[1:])
+        np.maximum(row, np.arange(i * (n + 1), (i + 1) * (n + 1)), out=row)
+        above = np.maximum.accumulate(row - far) + far
+        top = int(above.max()) >> _START_BITS
+        if top > best[0]:
+            at = int(np.argmax(above >= top * unit))
+            best = (top, int(above[at]) & (unit - 1), i, at)
+    score, start, end, end_text = best
+    return score, start // (n + 1), end, start % (n + 1), end_text
 
 
 def folded(text: bytes) -> list[bytes]:
@@ -61,10 +59,11 @@ class Items:
         self.vocabulary, self.ids, self.words = {}, [], []
         for item_id, text in items:
             own = folded(text)
-            if len(own) >= max(1, item_words):
+            if own:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], np.int64))
         self.kinds = [np.unique(w, return_counts=True) for w in self.words]
+        self.short = np.array([len(w) < item_words for w in self.words], bool)
         self.need = np.array([least * MATCH * len(w) for w in self.words])
         item = np.repeat(np.arange(len(self.words)), [len(k) for k, _ in self.kinds])
         word = np.concatenate([k for k, _ in self.kinds]) if self.kinds else np.zeros(0, np.int64)
@@ -146,7 +145,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Words are [^\\x20\\x09-\\x0D]+ in lower case; ends are exclusive. One pass over all documents aligns every item with the stretches
     where two bounds let the score be reached: the words a document shares with the item, and the gain of a stretch's words less the cost of the
     others. Both are exact, so edits, wherever they are, hide no passage. Passages of one item in one document don't overlap: the best is taken first.
-    Null and empty texts, items of no word or of fewer than item_words words, and null ids of items have no rows; a null doc_id stays null; rows repeat as the input does; other columns are
+    An item of fewer than item_words words is found only where a document's words are its own. An empty table of documents or items gives no rows. Memory goes with the sum of an
+    item's and a stretch's words, not their product. Null and empty texts, items of no word, and null ids of items have no rows; a null doc_id stays null; rows repeat as the input does; other columns are
     ignored. Nothing is shuffled.
     """
     spark = docs.sparkSession
@@ -170,6 +170,10 @@ def _leaks(docs: DataFrame, items: Items) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
                 words = s.number(text)
                 for i in s.near(words).tolist():
+                    if s.short[i]:
+                        if np.array_equal(words, s.words[i]):
+                            rows.append((doc_id, s.ids[i], 1.0, 0, len(words), 0, len(words)))
+                        continue
                     for a, b in s.stretches(i, words, mark):
                         rows += [(doc_id, s.ids[i], score / (MATCH * len(s.words[i])), *at) for score, *at in s.aligned(i, words, a, b)]
             columns = list(zip(*rows)) or [()] * 7
