@@ -7,6 +7,7 @@ Added special tokens are cut out first, as the library does by default.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 
@@ -16,8 +17,8 @@ from tokenizers import Tokenizer
 #: The pre-token pattern of byte-level BPE, and its meaning on ASCII texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-#: Pre-tokens that a Python worker remembers before it starts anew.
-CACHE = 1_000_000
+#: Pre-tokens, and bytes of them, that a Python worker remembers before it starts anew; longer ones than LONG aren't kept.
+CACHE, CACHE_BYTES, LONG = 1_000_000, 32 << 20, 256
 
 #: Characters outside these ranges may be letters in one Unicode version and unassigned in another; texts with such are left to the library.
 SETTLED = "\x00-\u0557\u0590-\u088e\u2000-\u206f\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fea\uac00-\ud7a3\U0001f300-\U0001f5ff"
@@ -42,7 +43,9 @@ def _cutter(path: str) -> re.Pattern:
 
 def pre_tokens(text: str, path: str) -> list[str]:
     """A special token's string is a pre-token of its own."""
-    if text.isascii():
+    if not supported(path):
+        find = lambda part: [part[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(part)]
+    elif text.isascii():
         find = _ascii.findall
     elif _unsettled.search(text) is None:
         find = _any.findall
@@ -67,13 +70,17 @@ class Lengths(dict):
 
     def __init__(self, path: str, frequent: dict[str, int]) -> None:
         super().__init__(frequent)
-        self.path, self.cache = path, {}
+        self.path, self.cache, self.size = path, {}, 0
 
     def __missing__(self, pre_token: str) -> int:
         if (n := self.cache.get(pre_token)) is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            n = self.cache[pre_token] = len(encode(pre_token, self.path))
+            n = len(encode(pre_token, self.path))
+            if len(pre_token) <= LONG:
+                if len(self.cache) >= CACHE or self.size >= CACHE_BYTES:
+                    self.cache.clear()
+                    self.size = 0
+                self.cache[pre_token] = n
+                self.size += len(pre_token)
         return n
 
 
@@ -82,13 +89,17 @@ class Ids(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.path = path
+        self.path, self.size = path, 0
 
     def __missing__(self, pre_token: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         ids = encode(pre_token, self.path)
-        got = self[pre_token] = struct.pack(f"<{len(ids)}I", *ids)
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(pre_token) <= LONG:
+            if len(self) >= CACHE or self.size >= CACHE_BYTES:
+                self.clear()
+                self.size = 0
+            self[pre_token] = got
+            self.size += len(pre_token) + len(got)
         return got
 
     def of(self, text: str) -> bytes:
@@ -101,9 +112,15 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def single_token_words(path: str) -> dict[str, int]:
-    """The vocabulary entries that are whole pre-tokens of one token: the merges a tokenizer holds are the frequent ones, and their number is its vocabulary's size, whatever the corpus."""
-    tok = tokenizer(path)
-    texts = {tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())}
-    texts = [t for t in texts if t and "�" not in t and pre_tokens(t, path) == [t]]
-    return {t: 1 for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)) if len(e.ids) == 1}
+@functools.lru_cache(maxsize=4)
+def supported(path: str) -> bool:
+    """Whether the tokenizer cuts texts as PATTERN does, before its merges: byte-level, without a normalizer or a space of its own in front."""
+    state = json.loads(tokenizer(path).to_str())
+    cut = state.get("pre_tokenizer") or {}
+    return state.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
+def lengths_of(pre: list[str], path: str) -> dict[str, int]:
+    """The token counts of pre-tokens, each as a text of its own."""
+    known = specials(path)
+    return {t: 1 if t in known else len(e.ids) for t, e in zip(pre, tokenizer(path).encode_batch(pre, add_special_tokens=False))}
