@@ -147,7 +147,8 @@ def train(measured: DataFrame, labels: DataFrame, usable: Column, label_col: str
     """Fits on at most `rows` labelled rows, those of the smallest id hashes among the usable ones, so the driver's share is bounded; null labels and ids are left out."""
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    got = measured.join(known, "id").select("id", "label", *FEATURES).toArrow()
+    one = measured.join(known, "id").groupBy("id", "label").agg(F.min(F.struct(*FEATURES)).alias("of"))  # a repeated id has one row
+    got = one.select("id", "label", "of.*").toArrow()
     table = np.stack([got.column(c).to_numpy() for c in ["id", "label", *FEATURES]], axis=1)
     table = table[np.lexsort(table.T[::-1])]  # the same fit, whatever order the rows come in
     return fit(table[:, 2:], table[:, 1])
