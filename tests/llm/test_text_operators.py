@@ -330,3 +330,67 @@ def test_quality_held_out_and_without_labels(spark):
     assert np.mean([(r.score >= 0.5) == r.quality for r in held]) > 0.9
     none = quality.classify(frame(spark, ODD), labels.limit(0), F.lit(True)).collect()
     assert len(none) == len(ODD) and {r.score for r in none} == {0.5}
+
+
+def test_scattered_pieces_hide_no_repeat(spark):
+    """Passages that are whole in two documents, with 28 documents before and between that hold 12 of their words."""
+    rng, rows, whole = random.Random(17), [], []
+    for k in range(20):
+        w, at = prose(rng, 60), 1000 * k
+        piece = lambda w=w: " ".join([*prose(rng, 40), *w[(s := rng.randrange(48)) : s + 12], *prose(rng, 40)])
+        rows += [(at + j, piece()) for j in range(14)] + [(at + 100, " ".join([*prose(rng, 30), *w, *prose(rng, 30)]))]
+        rows += [(at + 200 + j, piece()) for j in range(14)] + [(at + 300, " ".join([*prose(rng, 30), *w, *prose(rng, 30)]))]
+        whole.append((at + 300, at + 100))
+    got = {(r.doc_id, r.match_doc_id): (r.start_word, r.end_word) for r in substrings.near_duplicate_passages(frame(spark, rows)).collect()}
+    assert set(got) == set(whole) and all(a <= 30 and b >= 90 for a, b in got.values())
+
+
+def test_near_passages_against_brute_force(spark):
+    """Every document that has a stretch like one of an earlier document has a row, and the rows cover nine tenths of such stretches' words."""
+    rng, rows = random.Random(23), []
+    for k in range(12):
+        w = prose(rng, rng.randint(60, 120))
+        for j in range(6):
+            new = list(w)
+            for _ in range(rng.randint(0, len(w) // 30)):
+                new[rng.randrange(len(new))] = "edited" + str(j)
+            rows.append((100 * j + k, " ".join([*prose(rng, 20), *new, *prose(rng, 20)])))
+    seq = {i: substrings.sequence(t.encode()) for i, t in rows}
+    want = collections.defaultdict(set)
+    for b in seq:
+        for a in seq:
+            if a < b:
+                for s, e, *_ in substrings.passages(seq[b], seq[a], 46, 75):
+                    want[b].update(range(s, e + 4))
+    got = collections.defaultdict(set)
+    for r in substrings.near_duplicate_passages(frame(spark, rows)).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert set(got) == set(want) and sum(len(got[b] & want[b]) for b in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_long_alignments_need_no_table():
+    rng = np.random.default_rng(6)
+    q, t = rng.integers(0, 5000, 4000), rng.integers(0, 5000, 40_000)
+    t[20_000:24_000] = q
+    assert decontaminate.align(q, t) == (8000, 0, 4000, 20_000, 24_000)
+
+
+def test_empty_tables(spark):
+    docs, items = frame(spark, []), spark.createDataFrame([], "item_id long, text string")
+    some = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    assert substrings.near_duplicate_passages(docs).collect() == [] and token_counts.token_counts(docs, TOKENIZER).collect() == []
+    assert decontaminate.find_leaks(docs, some).collect() == [] and decontaminate.find_leaks(docs, items).collect() == []
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.classify(docs, labels, F.lit(True)).collect() == []
+
+
+def test_frequent_lengths_are_the_library_s(spark, corpus):
+    found = token_counts.frequent_lengths(frame(spark, corpus), TOKENIZER, rows=50, most=300)
+    assert len(found) == 300 and all(n == len(library(t)) for t, n in found.items())
+
+
+def test_repeated_labelled_ids_stay_bounded(spark):
+    rows = [(k % 3, "good words of prose " * (1 + k % 7)) for k in range(300)]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    scored = quality.classify(frame(spark, rows), labels, F.lit(True)).collect()
+    assert len(scored) == 300 and all(0 <= r.score <= 1 for r in scored)
