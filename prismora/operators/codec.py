@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.frames import BLACK, WHITE
@@ -79,3 +79,23 @@ def dequantize(coefficient: Column, gcli: Column, threshold: Column) -> Column:
     m = F.abs(coefficient)
     terms = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.when(s * k < 62, F.call_function("shiftright", m, (s * k).cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.signum(coefficient).cast("long") * F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a + t) * 16
+
+
+def color_lift(planes: DataFrame) -> DataFrame:
+    """(photo, y, x, red, green1, green2, blue): the inverse of a lifted colour transform, of whole numbers, from (photo, y, x, luma, rd, delta, bd).
+
+    Each step takes a rounded-down mean of neighbours from a plane; at the edges a place stands in for its missing neighbour, but below the
+    last row, where the first luma is made anew from that row alone. Neighbours are lag and lead along rows and columns.
+    """
+    along, down = (Window.partitionBy("photo", a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
+    right, left = (lambda c, f=f: F.coalesce(f(c).over(along), F.col(c)) for f in (F.lead, F.lag))
+    below, above = (lambda c, f=f: F.coalesce(f(c).over(down), F.col(c)) for f in (F.lead, F.lag))
+    shift = F.shiftright
+    p = planes.withColumn("pair", F.col("delta") + right("delta"))
+    p = p.withColumn("y1", F.col("luma") - shift(F.col("pair") + above("pair"), 3))
+    p = p.withColumn("next", F.coalesce(F.lead("y1").over(down), F.col("luma") - shift(F.col("pair"), 2)))
+    p = p.withColumn("y2", F.col("delta") + shift(F.col("y1") + left("y1") + F.col("next") + left("next"), 2))
+    p = p.withColumn("green1", F.col("y1") - shift(F.col("rd") + right("rd") + F.col("bd") + above("bd"), 3)).withColumn("green2", F.col("y2") - shift(F.col("rd") + below("rd") + F.col("bd") + left("bd"), 3))
+    red = F.col("rd") + shift(F.col("green1") + left("green1") + F.col("green2") + above("green2"), 2)
+    blue = F.col("bd") + shift(F.col("green1") + below("green1") + F.col("green2") + right("green2"), 2)
+    return p.select("photo", "y", "x", red.alias("red"), "green1", "green2", blue.alias("blue"))

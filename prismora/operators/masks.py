@@ -12,7 +12,7 @@ def subject_weights(grid: DataFrame, mask: DataFrame, size: int, side: int) -> D
     """(photo, y, x, weight) of a size x size frame: the side x side mask (values 0..255) sampled bilinearly at pixel centres. The mask is a row of arrays, so four neighbours are four elements."""
     at = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(float(side - 1)), (v + 0.5) * side / size - 0.5))
     rows = mask.groupBy("photo").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "w"))), lambda s: s["w"]).alias("m"))
-    p = grid.join(F.broadcast(rows), "photo").withColumn("v", at(F.col("y"))).withColumn("u", at(F.col("x")))  # as many numbers a photo as the mask has
+    p = grid.join(rows, "photo").withColumn("v", at(F.col("y"))).withColumn("u", at(F.col("x")))
     i, j = F.floor("v").cast("int"), F.floor("u").cast("int")
     i2, j2 = F.least(i + 1, F.lit(side - 1)), F.least(j + 1, F.lit(side - 1))
     fy, fx = F.col("v") - i, F.col("u") - j

@@ -6,7 +6,7 @@ elements, neighbours up and down are lag and lead, so a 5 x 5 window costs no jo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLACK, WHITE = 1008, 16383
@@ -47,11 +47,10 @@ def sensor_rows(spark: SparkSession, sf_dir: str, side: int = 32) -> DataFrame:
     n = across * across
     dn = lambda v: F.greatest(F.lit(0), F.least(F.lit(WHITE), F.rint(BLACK + (v.cast("double") + 0.30) / 0.60 * (WHITE - BLACK)).cast("int")))
     tiles = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / n).cast("long").alias("photo"), (F.col("vec_id") % n).cast("int").alias("t"), F.transform("embedding", dn).alias("px"))
-    strips = tiles.select("photo", "t", F.posexplode(F.expr("transform(sequence(0, 7), k -> slice(px, 8 * k + 1, 8))")).alias("k", "part"))
+    whole = tiles.groupBy("photo").agg(F.sum(F.size("px")).alias("n")).where(F.col("n") == side * side)
+    strips = tiles.join(whole, "photo", "left_semi").select("photo", "t", F.posexplode(F.expr("transform(sequence(0, 7), k -> slice(px, 8 * k + 1, 8))")).alias("k", "part"))
     rows = strips.groupBy("photo", (F.floor(F.col("t") / across).cast("int") * 8 + F.col("k")).alias("y")).agg(F.sort_array(F.collect_list(F.struct((F.col("t") % across).alias("c"), "part"))).alias("parts"))
-    rows = rows.select("photo", "y", F.flatten(F.transform("parts", lambda p: p["part"])).alias("px"))
-    whole = rows.withColumn("n", F.sum(F.size("px")).over(Window.partitionBy("photo")))
-    return whole.where(F.col("n") == side * side).select("photo", "y", "px")
+    return rows.select("photo", "y", F.flatten(F.transform("parts", lambda p: p["part"])).alias("px"))
 
 
 def pixels(rows: DataFrame, name: str = "dn", column: str = "px") -> DataFrame:

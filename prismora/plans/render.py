@@ -12,7 +12,7 @@ from . import frames
 
 def balanced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sensor rows with v: normalised samples times their site's gain, limited to the least gain, which is 1 here."""
-    rows = frames.sensor_rows(spark, sf_dir).join(F.broadcast(frames.frames(spark, sf_dir)), "photo")  # a header a frame
+    rows = frames.sensor_rows(spark, sf_dir).join(frames.frames(spark, sf_dir), "photo")
     site = lambda i: F.pmod(F.col("y"), F.lit(2)) + F.pmod(i, F.lit(2))
     gain = lambda i: F.when(site(i) == 0, F.col("wb_r")).when(site(i) == 2, F.col("wb_b")).otherwise(1.0)
     return rows.withColumn("v", F.transform("px", lambda d, i: F.least(F.lit(1.0), scalar.normalize(d, frames.BLACK, frames.WHITE) * gain(i))))
@@ -22,7 +22,7 @@ def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(photo, y, x, r, g, b): demosaiced camera colour in linear sRGB, not clamped."""
     headers = frames.frames(spark, sf_dir).select("photo", "model").join(F.broadcast(frames.render_profiles(spark)), "model")
     demosaiced = stencil.bilinear(balanced_rows(spark, sf_dir), "v")
-    px = stencil.pixels(demosaiced).join(F.broadcast(headers), "photo")
+    px = stencil.pixels(demosaiced).join(headers, "photo")
     m = [[F.col(f"c{i}{j}") for j in range(3)] for i in range(3)]
     r, g, b = scalar.matrix(m, (F.col("r"), F.col("g"), F.col("b")))
     return px.select("photo", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))

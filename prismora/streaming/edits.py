@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,16 +73,20 @@ def newest_stream(log: DataFrame) -> DataFrame:
         if best != before:
             yield pd.DataFrame({"source": [key[0]], "ts": [best[0]], "seq": [best[1]], "action": [best[2]], "value": [best[3]]})
 
-    return log.groupBy("source").applyInPandasWithState(keep, "source long, ts long, seq long, action string, value double", "ts long, seq long, action string, value double", "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("source").applyInPandasWithState(keep, "source long, ts long, seq long, action string, value double", "ts long, seq long, action string, value double", "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Runs newest_stream over a Parquet folder's files with availableNow and returns its last word on each source."""
+    """Runs newest_stream over a Parquet folder's files with availableNow and returns its last word on each source.
+
+    What the stream says goes to Parquet files in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where that is unset), and so does its checkpoint: nothing gathers in the driver.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, pattern = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 1).parquet(folder)
-    q = newest_stream(edits(source)).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    said = spark.table(name)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="prismora-")
+    out = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    said = newest_stream(edits(source))
+    said.writeStream.format("parquet").option("path", f"{out}/said").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     last: Column = F.max_by(F.struct("seq", "action", "value"), F.struct("ts", "seq"))
-    return said.groupBy("source").agg(last.alias("e")).select("source", "e.*")
+    return spark.read.schema(said.schema).parquet(f"{out}/said").groupBy("source").agg(last.alias("e")).select("source", "e.*")

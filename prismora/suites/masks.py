@@ -18,28 +18,47 @@ _NEAR = RGB8 + f""", {_TAPS}, px AS (SELECT *, 54 * r + 183 * g + 19 * b AS w, (
 near AS (SELECT c.photo, c.y, c.x, c.r, c.g, c.b, c.w, c.q, dy, dx, n.r AS nr, n.g AS ng, n.b AS nb, n.w AS nw, n.q AS nq FROM px c, taps5, px n WHERE n.photo = c.photo AND n.y = greatest(0, least(31, c.y + dy)) AND n.x = greatest(0, least(31, c.x + dx)))"""
 
 
-@S.add(f"""WITH {_NEAR}, k AS (SELECT *, round_even(65536 * exp(-((dy * dy + dx * dx) / 2.88::DOUBLE)) * exp(-((nq - q) * (nq - q))::DOUBLE / 288::DOUBLE), 0)::BIGINT AS k FROM near),
+_LUMINANCE = f"""WITH {_NEAR}, k AS (SELECT *, round_even(65536 * exp(-((dy * dy + dx * dx) / 2.88::DOUBLE)) * exp(-((nq - q) * (nq - q))::DOUBLE / 288::DOUBLE), 0)::BIGINT AS k FROM near),
 s AS (SELECT photo, y, x, r, g, b, sum(k)::BIGINT AS sw, sum(k * (nw - w))::BIGINT AS sy FROM k GROUP BY ALL), d AS (SELECT *, sy * 32768 AS num, sw * 16777216 AS den FROM s),
 e AS (SELECT *, abs(num) // den + CASE WHEN 2 * (abs(num) % den) > den OR (2 * (abs(num) % den) = den AND (abs(num) // den) % 2 = 1) THEN 1 ELSE 0 END AS whole FROM d),
-f AS (SELECT *, greatest(-least(r, g, b), least(255 - greatest(r, g, b), sign(num) * whole)) AS delta FROM e) SELECT photo, y, x, (r + delta)::INTEGER AS r, (g + delta)::INTEGER AS g, (b + delta)::INTEGER AS b FROM f""")
+f AS (SELECT *, greatest(-least(r, g, b), least(255 - greatest(r, g, b), sign(num) * whole)) AS delta FROM e)"""
+_SHIFTED = "SELECT photo, y, x, (r + delta)::INTEGER AS r, (g + delta)::INTEGER AS g, (b + delta)::INTEGER AS b FROM f"
+
+
+@S.add(f"{_LUMINANCE} {_SHIFTED}")
 def denoise_luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise.luminance(render.rgb8(spark, sf_dir), 0.5)
 
 
-_CHROMA = f"""WITH {_NEAR}, k AS (SELECT *, exp(-((dy * dy + dx * dx) / 2.88::DOUBLE)) * exp(-((nq - q) * (nq - q))::DOUBLE / 2048::DOUBLE) * exp(-((abs(nr - ng - r + g) + abs(nb - ng - b + g)) * (abs(nr - ng - r + g) + abs(nb - ng - b + g)))::DOUBLE / 4608::DOUBLE) AS k FROM near),
-s AS (SELECT photo, y, x, r, g, b, w / 256::DOUBLE AS luma, sum(k) AS sw, sum(k * (nr - ng)) AS su, sum(k * (nb - ng)) AS sv FROM k GROUP BY ALL),
-m AS (SELECT *, (r - g) + 0.6::DOUBLE * (su / sw - (r - g)) AS u, (b - g) + 0.6::DOUBLE * (sv / sw - (b - g)) AS v FROM s),
-o AS (SELECT *, u - (54 * u + 19 * v) / 256 AS cr, -((54 * u + 19 * v) / 256) AS cg, v - (54 * u + 19 * v) / 256 AS cb FROM m),
-l AS (SELECT *, least(1::DOUBLE, {', '.join(f'CASE WHEN {c} > 0 THEN (255 - luma) / {c} WHEN {c} < 0 THEN -luma / {c} ELSE 1 END' for c in ('cr', 'cg', 'cb'))}) AS k FROM o),
-z AS (SELECT photo, y, x, {', '.join(f'round_even(greatest(0::DOUBLE, least(255::DOUBLE, luma + c{c} * k)), 0) AS {c}' for c in 'rgb')} FROM l)
-SELECT photo, count(*) AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, sum(r * y + g * x + b)::BIGINT AS mixed FROM z GROUP BY photo"""
+def _chroma_sql(near: str, n: str = "") -> str:
+    """The filter and its checksums over the neighbours `near`; n sets its names apart."""
+    return f"""k{n} AS (SELECT *, exp(-((dy * dy + dx * dx) / 2.88::DOUBLE)) * exp(-((nq - q) * (nq - q))::DOUBLE / 2048::DOUBLE) * exp(-((abs(nr - ng - r + g) + abs(nb - ng - b + g)) * (abs(nr - ng - r + g) + abs(nb - ng - b + g)))::DOUBLE / 4608::DOUBLE) AS k FROM {near}),
+s{n} AS (SELECT photo, y, x, r, g, b, w / 256::DOUBLE AS luma, sum(k) AS sw, sum(k * (nr - ng)) AS su, sum(k * (nb - ng)) AS sv FROM k{n} GROUP BY ALL),
+m{n} AS (SELECT *, (r - g) + 0.6::DOUBLE * (su / sw - (r - g)) AS u, (b - g) + 0.6::DOUBLE * (sv / sw - (b - g)) AS v FROM s{n}),
+o{n} AS (SELECT *, u - (54 * u + 19 * v) / 256 AS cr, -((54 * u + 19 * v) / 256) AS cg, v - (54 * u + 19 * v) / 256 AS cb FROM m{n}),
+l{n} AS (SELECT *, least(1::DOUBLE, {', '.join(f'CASE WHEN {c} > 0 THEN (255 - luma) / {c} WHEN {c} < 0 THEN -luma / {c} ELSE 1 END' for c in ('cr', 'cg', 'cb'))}) AS k FROM o{n}),
+z{n} AS (SELECT photo, y, x, {', '.join(f'round_even(greatest(0::DOUBLE, least(255::DOUBLE, luma + c{c} * k)), 0) AS {c}' for c in 'rgb')} FROM l{n})
+SELECT photo, count(*) AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, sum(r * y + g * x + b)::BIGINT AS mixed FROM z{n} GROUP BY photo"""
+
+
+def _checksums(rgb: DataFrame) -> DataFrame:
+    return rgb.groupBy("photo").agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in "rgb"), F.sum((F.col("r") * F.col("y") + F.col("g") * F.col("x") + F.col("b")).cast("long")).alias("mixed"))
+
+
+_CHROMA = f"WITH {_NEAR}, {_chroma_sql('near')}"
 
 
 @S.add(_CHROMA)
 def denoise_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums of a photo's filtered pixels."""
-    out = noise.chroma(render.rgb8(spark, sf_dir), 0.6)
-    return out.groupBy("photo").agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in "rgb"), F.sum((F.col("r") * F.col("y") + F.col("g") * F.col("x") + F.col("b")).cast("long")).alias("mixed"))
+    return _checksums(noise.chroma(render.rgb8(spark, sf_dir), 0.6))
+
+
+@S.add(f"""{_LUMINANCE}, one AS ({_SHIFTED}), px2 AS (SELECT *, 54 * r + 183 * g + 19 * b AS w, (54 * r + 183 * g + 19 * b + 128) >> 8 AS q FROM one),
+near2 AS (SELECT c.photo, c.y, c.x, c.r, c.g, c.b, c.w, c.q, dy, dx, n.r AS nr, n.g AS ng, n.b AS nb, n.w AS nw, n.q AS nq FROM px2 c, taps5, px2 n WHERE n.photo = c.photo AND n.y = greatest(0, least(31, c.y + dy)) AND n.x = greatest(0, least(31, c.x + dx))), {_chroma_sql('near2', '2')}""")
+def denoise_combined_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both filters, luminance first. Checksums of a photo's pixels."""
+    return _checksums(noise.combined(render.rgb8(spark, sf_dir), 0.5, 0.6))
 
 
 def _mask(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
@@ -107,7 +126,7 @@ WHERE ((x + 0.5::DOUBLE) / 32 - (x0 + x1) / 2) * ((x + 0.5::DOUBLE) / 32 - (x0 +
 SELECT photo, k, n FROM i WHERE n >= 24""")
 def face_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels within each box's inner ellipse, those of 24 or more. Only the pixels of an ellipse's bounding box are made."""
-    b = _boxes(spark, sf_dir).join(F.broadcast(frames.frames(spark, sf_dir).select("photo")), "photo")
+    b = _boxes(spark, sf_dir).join(frames.frames(spark, sf_dir).select("photo"), "photo")
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     b = b.select("photo", "k", cx.alias("cx"), cy.alias("cy"), (0.32 * (F.col("x1") - F.col("x0"))).alias("rx"), (0.35 * (F.col("y1") - F.col("y0"))).alias("ry"))
     span = lambda c, r: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - F.col(r)) * 32) - 1).cast("int"), F.least(F.lit(31), F.ceil((F.col(c) + F.col(r)) * 32)).cast("int"))

@@ -87,10 +87,10 @@ LADDER = (0.8, 0.4, 0.2, 0.1, 0.0)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rung's render: five rows a pixel, made in place."""
+    """Every rung's codes beside the baseline's: five rows a pixel, made in place from its linear colour."""
     rungs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(2.0**e).alias("gain")) for k, e in enumerate(LADDER)))
-    lin = render.linear(spark, sf_dir).withColumn("rung", F.explode(rungs))
-    return lin.select("photo", "y", "x", F.col("rung.k").cast("int").alias("candidate"), *(scalar.encode(F.col(c) * F.col("rung.gain")).cast("int").alias(c) for c in "rgb"))
+    lin = render.linear(spark, sf_dir).select("photo", *"rgb", *(scalar.encode(F.col(c)).cast("int").alias(f"{c}0") for c in "rgb"), F.explode(rungs).alias("rung"))
+    return lin.select("photo", F.col("rung.k").cast("int").alias("candidate"), *(scalar.encode(F.col(c) * F.col("rung.gain")).cast("int").alias(c) for c in "rgb"), *(f"{c}0" for c in "rgb"))
 
 
 _CAND = RGB8 + ", rungs AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {2.0**e!r}::DOUBLE)" for k, e in enumerate(LADDER)) + ") t(candidate, gain)), cand AS (SELECT photo, y, x, candidate, " + ", ".join(f"{render.encode_sql(f'{c} * gain')}::INTEGER AS {c}" for c in "rgb") + """ FROM lin, rungs),
@@ -104,7 +104,7 @@ guards AS (SELECT photo, candidate, count(*) AS n, count(*) FILTER (clip) AS cli
 
 
 def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.guard_counts(render.rgb8(spark, sf_dir), _candidates(spark, sf_dir))
+    return measure.guard_counts(_candidates(spark, sf_dir))
 
 
 @S.add(f"WITH {_CAND} SELECT photo, candidate::INTEGER AS candidate, n, clipped, crushed, {r6('risk')} AS risk, fresh, lost, detail, {r6('median')} AS median, {r10('shadow_mean')} AS shadow_mean, midtones FROM guards")
@@ -118,12 +118,13 @@ _ACCEPT = """ok AS (SELECT g.photo, g.candidate, g.risk / g.n <= 0.005 AND NOT (
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _guards(spark, sf_dir)
-    base = g.where(F.col("candidate") == len(LADDER) - 1).select("photo", F.col("median").alias("m0"), F.col("shadow_mean").alias("s0"), F.col("clipped").alias("c0"))
+    rung = Window.partitionBy("photo")  # five rows
+    of_base = lambda name: F.max(F.when(F.col("candidate") == len(LADDER) - 1, F.col(name))).over(rung)
+    g = _guards(spark, sf_dir).withColumns({"m0": of_base("median"), "s0": of_base("shadow_mean"), "c0": of_base("clipped")})
     c = F.col
     tones = (c("risk") / c("n") <= 0.005) & ~((c("m0") < 0.5) & (c("m0") - c("median") > 0.01)) & ~((c("midtones") >= 0.10 * c("n")) & (c("s0") - c("shadow_mean") > 0.01))
     highlights = (c("clipped") <= c("c0") + 0.005 * c("n")) & (c("fresh") <= 0.005 * c("n")) & (c("lost") <= F.greatest(F.lit(2.0), 0.02 * c("detail")))
-    return g.join(base, "photo").select("photo", "candidate", tones.alias("tones"), highlights.alias("highlights"))
+    return g.select("photo", "candidate", tones.alias("tones"), highlights.alias("highlights"))
 
 
 @S.add(f"WITH {_CAND}, {_ACCEPT} SELECT photo, candidate::INTEGER AS candidate, tones, highlights FROM ok")
@@ -149,20 +150,16 @@ def _neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @S.add(f"""WITH {_LOGS}, whole AS (SELECT photo, count(*) AS n, median(rg) AS rg, median(bg) AS bg FROM neutral GROUP BY photo),
-votes AS (SELECT n.photo, n.region, median(n.rg) AS rg, median(n.bg) AS bg, count(*) AS n FROM neutral n GROUP BY n.photo, n.region HAVING count(*) >= 16),
-agree AS (SELECT w.photo, v.region, (v.region // 8) * 2 + (v.region % 4) // 2 AS quadrant, sqrt(v.rg * v.rg + v.bg * v.bg) > 0.015::DOUBLE AND v.rg * w.rg + v.bg * w.bg > 0.6::DOUBLE * sqrt(v.rg * v.rg + v.bg * v.bg) * sqrt(w.rg * w.rg + w.bg * w.bg) AS yes FROM votes v JOIN whole w USING (photo))
-SELECT w.photo, w.n, {r6('w.rg')} AS rg, {r6('w.bg')} AS bg, count(a.region) AS votes, count(*) FILTER (a.yes) AS agreeing, count(DISTINCT a.quadrant) FILTER (a.yes) AS quadrants FROM whole w LEFT JOIN agree a USING (photo) GROUP BY ALL""")
+all_ AS (SELECT photo, count(*) AS size, median(luma) AS median, greatest(avg((r >= g AND r >= b)::INTEGER), avg((b > r AND b > g)::INTEGER)) AS side, avg((g > r AND g >= b)::INTEGER) AS green FROM u GROUP BY photo),
+votes AS (SELECT n.photo, n.region, median(n.rg) AS rg, median(n.bg) AS bg, count(*) AS n FROM neutral n GROUP BY n.photo, n.region HAVING count(*) >= 16 AND count(*) >= 0.12 * 64),
+agree AS (SELECT w.photo, v.region, (v.region // 8) * 2 + (v.region % 4) // 2 AS quadrant, sqrt(v.rg * v.rg + v.bg * v.bg) > 0.015::DOUBLE AND v.rg * w.rg + v.bg * w.bg > 0.6::DOUBLE * sqrt(v.rg * v.rg + v.bg * v.bg) * sqrt(w.rg * w.rg + w.bg * w.bg) AS yes FROM votes v JOIN whole w USING (photo)),
+t AS (SELECT a.photo, coalesce(w.n, 0) AS n, coalesce(w.n, 0) / a.size::DOUBLE AS fraction, a.median, w.rg, w.bg, count(g.region) AS votes, count(*) FILTER (g.yes) AS agreeing, count(DISTINCT g.quadrant) FILTER (g.yes) AS quadrants,
+  NOT (coalesce(w.n, 0) < 0.12 * a.size OR a.median < 0.18 OR (a.median < 0.35 AND a.side > 0.85) OR (greatest(a.side, a.green) > 0.85 AND coalesce(w.n, 0) < 0.5 * a.size)) AND coalesce(sqrt(w.rg * w.rg + w.bg * w.bg) >= 0.025, false) AS usable FROM all_ a LEFT JOIN whole w USING (photo) LEFT JOIN agree g USING (photo) GROUP BY ALL)
+SELECT photo, n, {r10('fraction')} AS fraction, {r10('median')} AS median, {r6('rg')} AS rg, {r6('bg')} AS bg, usable, votes, agreeing, quadrants, usable AND votes >= 6 AND agreeing >= 0.8 * votes AND quadrants >= 3 AS accepted FROM t""")
 def neutral_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A photo's neutral bias, and how its regions vote on it."""
-    px = _neutral(spark, sf_dir)
-    whole = px.groupBy("photo").agg(F.count("*").alias("n"), F.median("rg").alias("rg"), F.median("bg").alias("bg"))
-    votes = px.groupBy("photo", "region").agg(F.median("rg").alias("vr"), F.median("bg").alias("vb"), F.count("*").alias("many")).where("many >= 16")
-    joined = whole.join(votes, "photo", "left")
-    length = F.sqrt(F.col("vr") * F.col("vr") + F.col("vb") * F.col("vb"))
-    yes = (length > 0.015) & (F.col("vr") * F.col("rg") + F.col("vb") * F.col("bg") > 0.6 * length * F.sqrt(F.col("rg") * F.col("rg") + F.col("bg") * F.col("bg")))
-    quadrant = F.floor(F.col("region") / 8) * 2 + F.floor(F.col("region") % 4 / 2)
-    out = joined.groupBy("photo", "n", "rg", "bg").agg(F.count("region").alias("votes"), F.count_if(yes).alias("agreeing"), F.countDistinct(F.when(yes, quadrant)).alias("quadrants"))
-    return out.withColumns({c: scalar.rounded(F.col(c)) for c in ("rg", "bg")})
+    out = measure.neutral_evidence(render.rgb8(spark, sf_dir), 32, 32)
+    return out.withColumns({c: scalar.rounded(F.col(c), 1e10 if c in ("fraction", "median") else 1e6) for c in ("fraction", "median", "rg", "bg")})
 
 
 @S.add(f"""WITH {_LOGS}, v AS (SELECT photo, region, median(rg) AS rg, median(bg) AS bg FROM neutral GROUP BY photo, region), m AS (SELECT photo, median(rg) AS rg, median(bg) AS bg FROM v GROUP BY photo),
@@ -189,15 +186,11 @@ def dark_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("photo", scalar.rounded(F.col("weight")).alias("weight"), scalar.rounded(lift).alias("lift"), scalar.rounded(F.col("m") + lift).alias("ceiling"))
 
 
-@S.add(f"""WITH {_STATS}, t AS (SELECT photo, max(m) - min(m) AS range_ FROM (SELECT photo, y // 8 AS ty, x // 8 AS tx, avg((r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255) AS m FROM rgb8 GROUP BY ALL) GROUP BY photo),
-k AS (SELECT photo, avg((greatest(r, g, b) > 16 / 255::DOUBLE)::INTEGER) AS bright, quantile_cont(luma, 0.99) AS p99, quantile_cont(luma, 0.05) AS p05, avg((luma > 8 / 255::DOUBLE)::INTEGER) AS seen FROM lit GROUP BY photo)
+@S.add(f"""WITH {_STATS}, t AS (SELECT photo, max(m) - min(m) AS range_ FROM (SELECT photo, y // 4 AS ty, x // 4 AS tx, avg(least(8 / 255::DOUBLE, (r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255)) AS m FROM rgb8 GROUP BY ALL) GROUP BY photo),
+k AS (SELECT photo, avg((greatest(r, g, b) > 16)::INTEGER) AS bright, quantile_cont((r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255, 0.99) AS p99, quantile_cont((r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255, 0.05) AS p05, avg(((r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255 > 8 / 255::DOUBLE)::INTEGER) AS seen FROM rgb8 GROUP BY photo)
 SELECT photo, bright < 0.0001 AND p99 < 8 / 255::DOUBLE AND p99 - p05 < 4 / 255::DOUBLE AND seen < 0.0001 AND range_ < 1 / 255::DOUBLE AS little, {r10('range_')} AS range_ FROM k JOIN t USING (photo)""")
 def little_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = render.rgb8(spark, sf_dir).withColumn("luma", scalar.luma709(F.col("r"), F.col("g"), F.col("b")) / 255)
-    tiles = px.groupBy("photo", F.floor(F.col("y") / 8), F.floor(F.col("x") / 8)).agg(F.avg("luma").alias("m")).groupBy("photo").agg((F.max("m") - F.min("m")).alias("range_"))
-    k = px.groupBy("photo").agg(F.avg(F.when(F.greatest("r", "g", "b") > 16, 1.0).otherwise(0.0)).alias("bright"), F.percentile("luma", 0.99).alias("p99"), F.percentile("luma", 0.05).alias("p05"), F.avg(F.when(F.col("luma") > 8 / 255, 1.0).otherwise(0.0)).alias("seen"))
-    little = (F.col("bright") < 0.0001) & (F.col("p99") < 8 / 255) & (F.col("p99") - F.col("p05") < 4 / 255) & (F.col("seen") < 0.0001) & (F.col("range_") < 1 / 255)
-    return k.join(tiles, "photo").select("photo", little.alias("little"), scalar.rounded(F.col("range_"), 1e10).alias("range_"))
+    return measure.little_detail(render.rgb8(spark, sf_dir), 32, 32).withColumn("range_", scalar.rounded(F.col("range_"), 1e10))
 
 
 @S.add(f"""WITH {RGB8}, s AS (SELECT photo, (y // 16 * 1000 + x // 16)::INTEGER AS block, y % 16 - 7.5::DOUBLE AS v, x % 16 - 7.5::DOUBLE AS h, (r - g)::DOUBLE AS u, (b - g)::DOUBLE AS w, (54 * r + 183 * g + 19 * b) / 256::DOUBLE AS l FROM rgb8),
@@ -210,6 +203,56 @@ def chroma_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise.select("photo", "block", scalar.rounded(F.col("dispersion")).alias("dispersion"), scalar.rounded(F.col("luma_sigma")).alias("luma_sigma"))
 
 
+_BLOCKS = RGB8 + f""", s AS (SELECT photo, (y // 16 * 1000 + x // 16)::INTEGER AS block, y % 16 - 7.5::DOUBLE AS v, x % 16 - 7.5::DOUBLE AS h, (r - g)::DOUBLE AS u, (b - g)::DOUBLE AS w, (54 * r + 183 * g + 19 * b) / 256::DOUBLE AS l, least(r, g, b) AS low, greatest(r, g, b) AS high FROM rgb8),
+f AS (SELECT photo, block, {', '.join(f'avg({c}) AS {c}m, sum({c} * v) / 5440::DOUBLE AS {c}v, sum({c} * h) / 5440::DOUBLE AS {c}h' for c in 'uwl')} FROM s GROUP BY ALL),
+e AS (SELECT s.photo, s.block, v, h, l AS luma, low, high, {', '.join(f'{c} - {c}m - {c}v * v - {c}h * h AS {c}_' for c in 'uwl')} FROM s JOIN f ON s.photo = f.photo AND s.block = f.block),
+d AS (SELECT photo, block, sqrt((mad(u_) * mad(u_) + mad(w_) * mad(w_)) / 2) * 1.4826::DOUBLE AS dispersion, mad(l_) * 1.4826::DOUBLE AS sigma, avg((low > 3 AND high < 252 AND luma > 20 AND luma < 220)::INTEGER) AS usable FROM e GROUP BY ALL),
+c AS (SELECT photo, block, sqrt(avg(u * u + w * w) / 2) AS chroma, sqrt(avg(l * l)) AS luma FROM (SELECT photo, block, avg(u_) AS u, avg(w_) AS w, avg(l_) AS l FROM e GROUP BY photo, block, floor((v + 7.5) / 4), floor((h + 7.5) / 4)) GROUP BY ALL),
+p AS (SELECT a.photo, a.block, b.h = a.h AS down, abs(sum(a.u_ * b.u_ + a.w_ * b.w_)) / greatest(1::DOUBLE, sqrt(sum(a.u_ * a.u_ + a.w_ * a.w_) * sum(b.u_ * b.u_ + b.w_ * b.w_))) AS r FROM e a JOIN e b ON a.photo = b.photo AND a.block = b.block AND ((b.v = a.v + 4 AND b.h = a.h) OR (b.v = a.v AND b.h = a.h + 4)) GROUP BY ALL)"""
+
+
+@S.add(f"""WITH {_BLOCKS} SELECT d.photo, d.block, {r10('usable')} AS usable, {r6('chroma')} AS chroma, {r6('c.luma')} AS luma, {r6('max(r)')} AS periodic,
+usable >= 0.95 AND chroma <= greatest(1::DOUBLE, dispersion * 0.45::DOUBLE) AND c.luma <= greatest(2::DOUBLE, sigma * 0.45::DOUBLE) AND max(r) < 0.45::DOUBLE AS flat FROM d JOIN c USING (photo, block) JOIN p USING (photo, block) GROUP BY d.photo, d.block, usable, chroma, c.luma, dispersion, sigma""")
+def noise_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which blocks show noise alone."""
+    out = measure.noise_blocks(render.rgb8(spark, sf_dir))
+    return out.withColumns({"usable": scalar.rounded(F.col("usable"), 1e10), **{c: scalar.rounded(F.col(c)) for c in ("chroma", "luma", "periodic")}})
+
+
+#: A sunset of this share, and reliability 1/2 or more: the weight of the scene's label.
+_SUNSET = (0.7 - 0.35) / 0.55
+
+
+@S.add(f"""WITH {RGB8}, u AS (SELECT photo, y // 8 * 4 + x // 8 AS region, greatest(r, g, b) AS hi, (greatest(r, g, b) - least(r, g, b))::DOUBLE / greatest(1, greatest(r, g, b)) AS sat, (r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE) / 255 AS luma, 100 * r > 103 * g AND 100 * g > 103 * b AS warm, ln(greatest(r, 1)::DOUBLE / greatest(g, 1)) AS rg, ln(greatest(b, 1)::DOUBLE / greatest(g, 1)) AS bg FROM rgb8),
+c AS (SELECT * REPLACE (warm AND luma > 0.08::DOUBLE AND luma < 0.85::DOUBLE AND hi <= 247 AND sat > 0.08::DOUBLE AND sat < 0.85::DOUBLE AS warm) FROM u),
+w AS (SELECT photo, count(*) FILTER (warm) AS n, count(*) AS size, median(rg) FILTER (warm) AS rg, median(bg) FILTER (warm) AS bg FROM c GROUP BY photo),
+t AS (SELECT photo, region, median(rg) FILTER (warm) AS rg, median(bg) FILTER (warm) AS bg FROM c GROUP BY ALL HAVING count(*) FILTER (warm) >= 16 AND count(*) FILTER (warm) >= 0.12 * count(*)),
+a AS (SELECT photo, region // 8 * 2 + region % 4 // 2 AS quadrant, (rg - bg) / sqrt(2::DOUBLE) > 0.5::DOUBLE * sqrt(rg * rg + bg * bg) AS yes FROM t),
+v AS (SELECT w.*, count(a.quadrant) AS tiles, count(*) FILTER (a.yes) AS agreeing, count(DISTINCT a.quadrant) FILTER (a.yes) AS quadrants FROM w LEFT JOIN a USING (photo) GROUP BY ALL)
+SELECT photo, n, {r6('rg')} AS rg, {r6('bg')} AS bg, tiles, agreeing, quadrants, {r6(f"CASE WHEN n >= 128 AND n >= 0.12 * size AND sqrt(rg * rg + bg * bg) >= 0.08 AND tiles >= 4 AND quadrants >= 2 AND agreeing >= 0.75 * tiles THEN {_SUNSET!r}::DOUBLE * greatest(0::DOUBLE, least(1::DOUBLE, (agreeing / tiles::DOUBLE - 0.6::DOUBLE) / 0.35::DOUBLE)) END")} AS weight FROM v""")
+def ambient_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warm light worth keeping, where the picture bears out the label sunset."""
+    out = measure.ambient_color(render.rgb8(spark, sf_dir), 32, 32, _SUNSET)
+    return out.withColumns({c: scalar.rounded(F.col(c)) for c in ("rg", "bg", "weight")})
+
+
+_AIMS = {"greens": 0.56, "blues": 0.32}
+
+
+@S.add(f"""WITH {RGB8}, b AS (SELECT photo, {', '.join(f"{render.encode_sql(c)}::INTEGER AS {c}0, {render.encode_sql(f'{c} * {2**0.2!r}::DOUBLE')}::INTEGER AS {c}" for c in 'rgb')} FROM lin),
+u AS (SELECT *, (r0 * 0.2126::DOUBLE + g0 * 0.7152::DOUBLE + b0 * 0.0722::DOUBLE) / 255 AS luma, (greatest(r, g, b) - least(r, g, b))::DOUBLE / greatest(1, greatest(r, g, b)) AS sat FROM b),
+k AS (SELECT *, luma > 0.08::DOUBLE AND luma < 0.85::DOUBLE AND greatest(r0, g0, b0) <= 247 AS ok FROM u),
+p AS ({' UNION ALL '.join(f"SELECT photo, '{part}' AS part, {w!r}::DOUBLE AS w, count(*) AS size, count(*) FILTER (ok AND {cond}) AS n, median(sat) FILTER (ok AND {cond}) AS s FROM k GROUP BY photo" for (part, w), cond in zip(_AIMS.items(), ("100 * g0 > 106 * r0 AND 100 * g0 > 104 * b0", "100 * b0 > 108 * r0 AND 100 * b0 > 98 * g0")))}),
+l AS (SELECT *, least(0.04::DOUBLE, greatest(0::DOUBLE, 0.55::DOUBLE - s) * 0.12::DOUBLE) * w AS lift FROM p)
+SELECT photo, part, n, {r6('s')} AS saturation, {r6('CASE WHEN n >= greatest(32, 0.025 * size) AND lift > 0.002 THEN s + lift END')} AS target FROM l""")
+def scene_saturation_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What green and blue materials aim at in a render a fifth of a stop up, for a landscape's evidence."""
+    lin = render.linear(spark, sf_dir)
+    both = lin.select("photo", *(scalar.encode(F.col(c) * F.lit(g)).cast("int").alias(f"{c}{n}") for g, n in ((1.0, "0"), (2**0.2, "")) for c in "rgb"))
+    out = measure.saturation_targets(both, _AIMS)
+    return out.withColumns({c: scalar.rounded(F.col(c)) for c in ("saturation", "target")})
+
+
 _SCORES = "sc AS (SELECT vec_id, i, v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < 21)"
 
 

@@ -26,7 +26,7 @@ def normalize_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @S.add(f"""WITH {SENSOR},{FRAMES} SELECT s.photo, y, x, {r6("greatest(0::DOUBLE, least(1::DOUBLE, greatest(0::DOUBLE, least(1::DOUBLE, (dn - 1008)::DOUBLE / 15375::DOUBLE)) * CASE y % 2 + x % 2 WHEN 0 THEN wb_r WHEN 2 THEN wb_b ELSE 1::DOUBLE END))")} AS v FROM sensor s JOIN frames f ON s.photo = f.photo""")
 def as_shot_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = frames.pixels(frames.sensor_rows(spark, sf_dir)).join(F.broadcast(frames.frames(spark, sf_dir)), "photo")
+    px = frames.pixels(frames.sensor_rows(spark, sf_dir)).join(frames.frames(spark, sf_dir), "photo")
     site = scalar.cfa(F.col("y"), F.col("x"))
     gain = F.when(site == 0, F.col("wb_r")).when(site == 2, F.col("wb_b")).otherwise(1.0)
     return px.select("photo", "y", "x", scalar.rounded(scalar.clamp(scalar.normalize(F.col("dn"), frames.BLACK, frames.WHITE) * gain)).alias("v"))
@@ -176,7 +176,7 @@ def _orient(k: int, n: str) -> str:
 
 @S.add(f"WITH {SENSOR},{FRAMES} SELECT photo, {_orient(0, '32')} AS y, {_orient(1, '32')} AS x, dn FROM sensor JOIN frames USING (photo)")
 def exif_orient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = frames.pixels(frames.sensor_rows(spark, sf_dir)).join(F.broadcast(frames.frames(spark, sf_dir).select("photo", "orientation")), "photo")
+    px = frames.pixels(frames.sensor_rows(spark, sf_dir)).join(frames.frames(spark, sf_dir).select("photo", "orientation"), "photo")
     n, y, x, o = 32, F.col("y"), F.col("x"), F.col("orientation")
     up = lambda v: n - 1 - v
     turned = o >= 5
@@ -268,6 +268,22 @@ def wavelet_53(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.inverse_53(bands.select("id", F.slice("e", 1, 32).alias("low"), F.slice("e", 33, 32).alias("high"))).select("id", F.posexplode("out").alias("pos", "v"))
 
 
+_ROW, _COL = "OVER (PARTITION BY photo, y ORDER BY x)", "OVER (PARTITION BY photo, x ORDER BY y)"
+
+
+@S.add(f"""WITH {SENSOR}, c AS (SELECT photo, y // 2 AS y, x // 2 AS x, sum(dn) FILTER (y % 2 = 0 AND x % 2 = 0)::BIGINT AS luma, (sum(dn) FILTER (y % 2 = 0 AND x % 2 = 1) - 8192)::BIGINT AS rd, (sum(dn) FILTER (y % 2 = 1 AND x % 2 = 0) - 8192)::BIGINT AS delta, (sum(dn) FILTER (y % 2 = 1 AND x % 2 = 1) - 8192)::BIGINT AS bd FROM sensor GROUP BY ALL),
+p1 AS (SELECT *, delta + coalesce(lead(delta) {_ROW}, delta) AS pair FROM c), p2 AS (SELECT *, luma - ((pair + coalesce(lag(pair) {_COL}, pair)) >> 3) AS y1 FROM p1), p3 AS (SELECT *, coalesce(lead(y1) {_COL}, luma - (pair >> 2)) AS nx FROM p2),
+p4 AS (SELECT *, delta + ((y1 + coalesce(lag(y1) {_ROW}, y1) + nx + coalesce(lag(nx) {_ROW}, nx)) >> 2) AS y2 FROM p3),
+p5 AS (SELECT *, y1 - ((rd + coalesce(lead(rd) {_ROW}, rd) + bd + coalesce(lag(bd) {_COL}, bd)) >> 3) AS green1, y2 - ((rd + coalesce(lead(rd) {_COL}, rd) + bd + coalesce(lag(bd) {_ROW}, bd)) >> 3) AS green2 FROM p4)
+SELECT photo, y::INTEGER AS y, x::INTEGER AS x, rd + ((green1 + coalesce(lag(green1) {_ROW}, green1) + green2 + coalesce(lag(green2) {_COL}, green2)) >> 2) AS red, green1, green2, bd + ((green1 + coalesce(lead(green1) {_COL}, green1) + green2 + coalesce(lead(green2) {_ROW}, green2)) >> 2) AS blue FROM p5""")
+def color_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaic samples as lifted planes, turned back into four colours."""
+    px = frames.pixels(frames.sensor_rows(spark, sf_dir))
+    site = lambda a, b, less=0: (F.sum(F.when((F.col("y") % 2 == a) & (F.col("x") % 2 == b), F.col("dn"))) - less).cast("long")
+    planes = px.groupBy("photo", F.floor(F.col("y") / 2).cast("int").alias("cy"), F.floor(F.col("x") / 2).cast("int").alias("cx")).agg(site(0, 0).alias("luma"), site(0, 1, 8192).alias("rd"), site(1, 0, 8192).alias("delta"), site(1, 1, 8192).alias("bd"))
+    return codec.color_lift(planes.withColumnsRenamed({"cy": "y", "cx": "x"}))
+
+
 @S.add("""WITH g AS (SELECT i, i - 65535::DOUBLE * sqrt(1008::DOUBLE / 16383::DOUBLE) AS d, 65535::DOUBLE * sqrt(1008::DOUBLE / 16383::DOUBLE) AS p FROM range(65536) t(i))
 SELECT i, greatest(0, least(16383, floor(CASE WHEN d < 0 THEN 1008::DOUBLE * (1 - (d / p) * (d / p)) ELSE 1008::DOUBLE + 15375::DOUBLE * ((d / (65535 - p)) * (d / (65535 - p))) END + 0.5::DOUBLE)))::INTEGER AS dn FROM g""")
 def he_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,8 @@ def ifd_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = nodes.select("photo", "src", ((F.col("src") * 3 + F.col("photo")) % 9).alias("dst")).union(nodes.where((F.col("src") + F.col("photo")) % 4 == 0).select("photo", "src", ((F.col("src") + 4) % 9).alias("dst")))
     out = links.groupBy("photo").agg(F.collect_list(F.struct("src", "dst")).alias("links"))  # of one file
     step = lambda seen: F.array_distinct(F.concat(seen, F.transform(F.filter("links", lambda l: F.array_contains(seen, l["src"])), lambda l: l["dst"])))
-    seen = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.array(F.lit(0).cast("long")), lambda a, _: step(a))
+    steps = F.sequence(F.lit(1), F.size("links") + 1)  # a directory that isn't found by then has no path: each step but the last finds one
+    seen = F.aggregate(steps, F.array(F.lit(0).cast("long")), lambda a, _: step(a))
     reached = out.select("photo", F.explode(seen).alias("ifd"))
     return reached.groupBy("photo").agg(F.count("*").alias("reached"), F.sum("ifd").alias("total"))
 
@@ -88,7 +89,7 @@ def support_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("photo", *fx.support("there", "compression", "bits", "cfa", "width", "jpeg"))
 
 
-@S.add("""WITH d AS (SELECT doc_id, substr(text, 1, 40) AS t, doc_id % 4 AS k, n_chars FROM documents), e AS (SELECT *, strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 3671), '%Y-%m-%dT%H:%M:%S') AS iso, strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 3671), '%Y:%m:%d %H:%M:%S') AS exif FROM d)
+@S.add("""WITH d AS (SELECT doc_id, text AS t, doc_id % 4 AS k, n_chars FROM documents), e AS (SELECT *, strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 3671), '%Y-%m-%dT%H:%M:%S') AS iso, strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 3671), '%Y:%m:%d %H:%M:%S') AS exif FROM d)
 SELECT doc_id, CASE WHEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN regexp_replace(trim(t, ' ' || chr(9) || chr(10) || chr(13)), '[^\x00-\x7F]', '?', 'g') END AS ascii_, CASE WHEN n_chars - 500 > 0 THEN n_chars - 500 END AS positive, CASE k WHEN 0 THEN exif WHEN 1 THEN exif WHEN 2 THEN exif ELSE NULL END AS taken FROM e""")
 def metadata_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to ASCII, positive numbers, and times: EXIF text with something behind it, ISO with Z, ISO with an offset that is dropped, and no time."""
@@ -97,7 +98,7 @@ def metadata_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
     said = F.when(k == 0, F.concat(exif, F.lit(".25"))).when(k == 1, F.concat(iso, F.lit("Z"))).when(k == 2, F.concat(iso, F.lit("+05:30"))).otherwise("yesterday")
     d = frames.table(spark, sf_dir, "documents")
-    return d.select("doc_id", fx.ascii_text(F.substring("text", 1, 40)).alias("ascii_"), fx.positive_int((F.col("n_chars") - 500).cast("string")).alias("positive"), fx.exif_time(said).alias("taken"))
+    return d.select("doc_id", fx.ascii_text(F.col("text")).alias("ascii_"), fx.positive_int((F.col("n_chars") - 500).cast("string")).alias("positive"), fx.exif_time(said).alias("taken"))
 
 
 _EDITS = "edits AS (SELECT user_id AS source, ts, event_id AS seq, event_type AS action, round_even((value % 4 - 2) * 10000, 0) / 10000 AS value FROM events)"
