@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bounded_batches, in_slices
+from .common import blobs, bounded_batches, in_slices, releasing
 
 #: Words of the shortest item, and the share of a perfect alignment's score that counts as a leak.
 ITEM_WORDS, LEAK = 3, 0.5
@@ -162,6 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _leaks(docs: DataFrame, items: Items) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
+    @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value
         mark = np.zeros(len(s.vocabulary) + 1, bool)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTERED, blobs, bounded_batches, cut, distinct, grams, in_slices, mix, settings, shared_dir, shuffles, tokens, word_hashes
+from .common import FILTERED, blobs, bounded_batches, cut, distinct, grams, in_slices, mix, releasing, settings, shared_dir, shuffles, tokens, word_hashes
 from .components import components
 from .packed import RECORDS, SCHEMA, Packer, buckets_for, dealt, reduce_buckets, reduce_parts, runs
 
@@ -102,6 +102,7 @@ def signatures(own: np.ndarray, first: list[int], percent: int) -> np.ndarray:
 def _of_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, high, low) of every row."""
 
+    @releasing
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             sets = [shingles(t, words) for t in blobs(batch.column(1))]
@@ -120,6 +121,7 @@ def _shared_counts(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     quarter are shared; so shared is at least q - (n - q) / 3. Sets that share a line or two send next to nothing.
     """
 
+    @releasing
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(buckets, bits=27), set()
 
@@ -177,6 +179,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(set_id, n, rank, shingles, sketch) of each wanted (set_id, high, low, rank): read anew from the text of the document set_id."""
     joined = docs.join(wanted, docs["doc_id"] == wanted["set_id"]).select("set_id", "high", "low", "rank", "text")
 
+    @releasing
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 128):
             keys, sets, seen, ranks = [], [], [], []
@@ -200,6 +203,7 @@ def _stars(sets: DataFrame, first: list[int], percent: int, buckets: int) -> Dat
     Ranks hold for all groups alike, so a set meets few pivots however many signatures it has: n sets that are near copies give about n pairs.
     """
 
+    @releasing
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, OWNER)
         for batch in in_slices(batches):
@@ -241,6 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Fine counts, a tenth of the shingles' bytes, go first and leave few other pairs."""
     both = _with_sets(pairs, sets, "n", "sketch").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
+    @releasing
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE) for k in (2, 3))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffles
+from .common import releasing, shuffles
 
 #: Entries and owners that a mapper gathers before it sends them on, and entries of a bucket.
 ENTRIES, OWNERS, BUCKET = 1_500_000, 60_000, 2_000_000
@@ -97,6 +97,7 @@ def reduce_buckets(packed: DataFrame, buckets: int, reducer: Callable[..., Itera
     """Calls reducer(keys, owner, records), sorted by key and then owner, for each bucket; yields what it yields. records are the owners, sorted (by their field id, if they have fields), and owner has the place of each entry's owner among them. Rows that a mapper marked by n = -1 go to aside(gaps, ids)."""
     plain = np.dtype(kind).names is None
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
@@ -151,6 +152,7 @@ def dealt(table: np.ndarray, part: np.ndarray, parts: int) -> Iterator[pa.Record
 def reduce_parts(packed: DataFrame, parts: int, kind: np.dtype, reducer: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Calls reducer(table) with all records of each part of rows from dealt()."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         at = None

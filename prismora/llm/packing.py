@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import bounded_batches, cut, in_slices, shuffles
+from .common import bounded_batches, cut, in_slices, releasing, shuffles
 
 #: Patterns that are enumerated for each length with partners of two or more.
 PARTNERS = 24
@@ -26,6 +26,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     bounded_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
+    @releasing
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pretokens.ids_of(tokenizer_path).of
         for batch in in_slices(batches):
@@ -167,6 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "block"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).cast("long").alias("rank"))
 
+    @releasing
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(k).to_numpy() for k in (3, 5))

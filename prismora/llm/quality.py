@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bounded_batches, cut, in_slices
+from .common import blobs, bounded_batches, cut, in_slices, releasing
 
 #: Labelled rows that a model is fitted on, at most; those of the smallest hashes.
 TRAINING_ROWS = 20_000
@@ -54,6 +54,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, one double for each of FEATURES) of every row; null and empty texts have zeros. Narrow."""
     bounded_batches(docs.sparkSession)
 
+    @releasing
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             x = np.array([statistics(t) for t in blobs(batch.column(1))]).reshape(-1, len(FEATURES))
@@ -165,6 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str
     measured = cut(features(docs), "features")
     model = spark.sparkContext.broadcast(train(measured, labels, usable, label_col, rows))
 
+    @releasing
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)], axis=1)
