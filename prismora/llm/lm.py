@@ -30,8 +30,8 @@ ADD, SHORTER, ORDER = 0.1, 4.0, 3
 BLOCK_BYTES = 8 << 20
 #: The hash of the token that ends a text.
 END = np.uint64(0xE0DE0DE0DE0DE0DE)
-#: Bytes of a key that travel within its bucket: 48 bits tell a bucket's n-grams apart.
-KEY_BYTES = 6
+#: Bytes of a key that travel within its bucket: 40 bits tell a bucket's n-grams apart, of which one in 2^40 over the bucket's n-grams has another one's key.
+KEY_BYTES = 5
 REQUESTS = "bucket int, block int, n int, keys binary, counts binary, single binary"
 ANSWERS = "block int, bucket int, counts binary, total long, kinds long"
 
