@@ -8,21 +8,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import bounded_batches, in_slices
+from .common import bounded_batches, in_slices, releasing
 
-#: Rows whose pre-tokens are counted for the first tier, and pre-tokens in it.
+#: About how many rows have their pre-tokens counted for the first tier, and pre-tokens in it.
 SAMPLE_ROWS, FREQUENT = 2_000, 50_000
 
 _lookups: dict[tuple[str, int], pretokens.Lengths] = {}
 
 
 def frequent_lengths(texts: DataFrame, tokenizer_path: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> dict[str, int]:
-    """The token counts of the most frequent pre-tokens of `rows` whole texts, those of the least id hashes: at most `most`. The sample
+    """The token counts of the most frequent pre-tokens, at most `most`, of about `rows` whole texts, drawn evenly with a fixed seed. The sample
     decides only what is looked up quickly. One task counts it, so no pre-token is shuffled."""
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: collections.Counter[str] = collections.Counter()
         for batch in batches:
@@ -31,7 +31,8 @@ def frequent_lengths(texts: DataFrame, tokenizer_path: str, rows: int = SAMPLE_R
         top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string())], ["pre_token"])
 
-    sample = texts.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text").coalesce(1)
+    share = min(1.0, rows / max(1, texts.count()))
+    sample = texts.where("text is not null").select("text").sample(share, 1).repartition(1)
     return pretokens.lengths_of([r.pre_token for r in sample.mapInArrow(count, "pre_token string").collect()], tokenizer_path)
 
 
@@ -49,6 +50,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     frequent = spark.sparkContext.broadcast(frequent_lengths(picked, tokenizer_path))
     key = (tokenizer_path, id(frequent))
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lookups.get(key)
         if lengths is None:
