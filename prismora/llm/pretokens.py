@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import functools
 import json
+import operator
 import re
 import struct
+from collections.abc import Callable
 
 import regex
 from tokenizers import Tokenizer
@@ -18,12 +20,24 @@ from tokenizers import Tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 #: Pre-tokens, and bytes of them, that a Python worker remembers before it starts anew; longer ones than LONG aren't kept.
-CACHE, CACHE_BYTES, LONG = 1_000_000, 32 << 20, 256
+CACHE, CACHE_BYTES, LONG = 600_000, 32 << 20, 256
 
 #: Characters outside these ranges may be letters in one Unicode version and unassigned in another; texts with such are left to the library.
 SETTLED = "\x00-\u0557\u0590-\u088e\u2000-\u206f\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fea\uac00-\ud7a3\U0001f300-\U0001f5ff"
 
-_any, _ascii, _unsettled = regex.compile(PATTERN), re.compile(ASCII_PATTERN), re.compile(f"[^{SETTLED}]")
+#: PATTERN for re, which is quicker than regex; it means the same on texts without the characters of _uneven().
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+
+
+def _uneven() -> str:
+    """The settled characters that re and regex take for different kinds, letters, numbers or white space."""
+    every = "".join(re.findall(f"[{SETTLED}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000))))))
+    kinds = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))
+    return "".join(sorted(set().union(*(set(regex.findall(a, every)) ^ set(re.findall(b, every)) for a, b in kinds))))
+
+
+_any, _ascii, _plain = regex.compile(PATTERN), re.compile(ASCII_PATTERN), re.compile(PLAIN_PATTERN)
+_unsettled, _uncommon = re.compile(f"[^{SETTLED}]"), re.compile(f"[^{SETTLED}]|[{re.escape(_uneven())}]")
 
 
 @functools.lru_cache(maxsize=4)
@@ -47,6 +61,8 @@ def pre_tokens(text: str, path: str) -> list[str]:
         find = lambda part: [part[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(part)]
     elif text.isascii():
         find = _ascii.findall
+    elif _uncommon.search(text) is None:
+        find = _plain.findall
     elif _unsettled.search(text) is None:
         find = _any.findall
     else:
@@ -60,9 +76,34 @@ def pre_tokens(text: str, path: str) -> list[str]:
     return out
 
 
-def encode(pre_token: str, path: str) -> list[int]:
-    known = specials(path)
-    return [known[pre_token]] if pre_token in known else tokenizer(path).encode(pre_token, add_special_tokens=False).ids
+def _shown() -> dict[str, str]:
+    """The characters by which byte-level tokenizers show bytes: printable ones of Latin-1 are themselves, the others follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): chr(b) for b in own} | {chr(b): chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SHOWN = str.maketrans(_shown())
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Gives the ids of a pre-token. Where the tokenizer only cuts and shows bytes before its merges, its model is asked at once."""
+    known, encode = specials(path), tokenizer(path).encode
+    if not supported(path):
+        return lambda t: [known[t]] if t in known else encode(t, add_special_tokens=False).ids
+    tokenize = tokenizer(path).model.tokenize
+
+    def ids(t: str) -> list[int]:
+        if t in known:
+            return [known[t]]
+        return [x.id for x in tokenize((t if t.isascii() else t.encode().decode("latin-1")).translate(_SHOWN))]
+
+    return ids
+
+
+#: Packs few ids at once.
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class Lengths(dict):
@@ -71,10 +112,11 @@ class Lengths(dict):
     def __init__(self, path: str, frequent: dict[str, int]) -> None:
         super().__init__(frequent)
         self.path, self.cache, self.size = path, {}, 0
+        self.encode = encoder(path)
 
     def __missing__(self, pre_token: str) -> int:
         if (n := self.cache.get(pre_token)) is None:
-            n = len(encode(pre_token, self.path))
+            n = len(self.encode(pre_token))
             if len(pre_token) <= LONG:
                 if len(self.cache) >= CACHE or self.size >= CACHE_BYTES:
                     self.cache.clear()
@@ -90,10 +132,11 @@ class Ids(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.path, self.size = path, 0
+        self.encode = encoder(path)
 
     def __missing__(self, pre_token: str) -> bytes:
-        ids = encode(pre_token, self.path)
-        got = struct.pack(f"<{len(ids)}I", *ids)
+        ids = self.encode(pre_token)
+        got = _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
         if len(pre_token) <= LONG:
             if len(self) >= CACHE or self.size >= CACHE_BYTES:
                 self.clear()
@@ -103,7 +146,8 @@ class Ids(dict):
         return got
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, pre_tokens(text, self.path)))
+        found = pre_tokens(text, self.path)
+        return b"".join(operator.itemgetter(*found)(self)) if len(found) > 1 else b"".join(map(self.__getitem__, found))
 
 
 @functools.lru_cache(maxsize=4)
@@ -117,7 +161,7 @@ def supported(path: str) -> bool:
     """Whether the tokenizer cuts texts as PATTERN does, before its merges: byte-level, without a normalizer or a space of its own in front."""
     state = json.loads(tokenizer(path).to_str())
     cut = state.get("pre_tokenizer") or {}
-    return state.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return state.get("normalizer") is None and (state.get("model") or {}).get("type") == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
 
 
 def lengths_of(pre: list[str], path: str) -> dict[str, int]:
