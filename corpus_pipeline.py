@@ -1,7 +1,8 @@
 """A corpus pipeline of the operators in prismora.llm: stages of (spark, docs, sf_dir) -> DataFrame.
 
 All stages but the last return the columns of the documents they get. A row stands for itself: rows with a null id
-pass the filters that go by id, and repeated rows share their id's fate.
+pass the filters that go by id, and repeated rows share their id's fate. Null and empty texts are kept and packed as an end each; a text of
+any length is one document; of equal candidates the smallest doc_id stays; an empty table gives no rows; columns of other names stay as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -16,10 +17,18 @@ from prismora.llm.common import id_crc, shared_dir
 from prismora.llm.queries import TOKENIZER
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of docs has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id is in the first column of ids."""
-    gone = ids.select(ids[ids.columns[0]].alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = _unused(docs, "gone")
+    ids = ids.select(ids[ids.columns[0]].alias(gone)).distinct()
+    return docs.join(ids, docs["doc_id"] == ids[gone], "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +45,15 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of the later ones; a document that keeps no word goes."""
+    """Passages that an earlier document has are cut out of the later ones, whose n_chars follows; a document that keeps no word goes."""
     found = substrings.near_duplicate_passages(docs)
-    emptied = F.col("text").isNull() & F.col("__had")
-    had = docs.select("*", F.col("text").isNotNull().alias("__had"))
-    left = substrings.cut_passages(had, found).where(~emptied).drop("__had")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+    before = _unused(docs, "before")
+    left = substrings.cut_passages(docs.withColumn(before, F.col("text")), found)
+    left = left.where(F.col("text").isNotNull() | F.col(before).isNull())
+    if "n_chars" in docs.columns:
+        same = F.col("text").eqNullSafe(F.col(before))
+        left = left.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
