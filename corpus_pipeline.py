@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismora.llm import decontaminate, jaccard, packing, quality, substrings
@@ -44,14 +44,19 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _without(docs, found.where("component_id <> doc_id").select("doc_id"))
 
 
+def _of_text() -> Column:
+    """A number that tells a text from what is left of it, null for null: it moves in the text's place."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+
+
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out of the later ones, whose n_chars follows; a document that keeps no word goes."""
     found = substrings.near_duplicate_passages(docs)
     before = _unused(docs, "before")
-    left = substrings.cut_passages(docs.withColumn(before, F.col("text")), found)
+    left = substrings.cut_passages(docs.withColumn(before, _of_text()), found)
     left = left.where(F.col("text").isNotNull() | F.col(before).isNull())
     if "n_chars" in docs.columns:
-        same = F.col("text").eqNullSafe(F.col(before))
+        same = _of_text().eqNullSafe(F.col(before))
         left = left.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
 
