@@ -29,6 +29,7 @@ FINE = 512
 BLOCK = 1024
 #: What travels with a set's signatures: the one of the least rank is its group's pivot.
 OWNER = np.dtype([("id", np.int64), ("rank", np.uint32)])
+PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
 COUNTED = np.dtype([("high", np.int64), ("shared", np.int32), ("own", np.bool_)])
 #: What stands for all owners of a shingle that a mapper has found twice; the ids of sets are even.
 MANY = 1
@@ -201,6 +202,7 @@ def _stars(sets: DataFrame, first: list[int], percent: int, buckets: int) -> Dat
     """(a, b): for every group of sets that share a signature, each member a with the group's pivot b, the member of the least rank.
 
     Ranks hold for all groups alike, so a set meets few pivots however many signatures it has: n sets that are near copies give about n pairs.
+    A pair that several buckets find goes from each to the task of its a, packed, and is a row only there.
     """
 
     @releasing
@@ -226,12 +228,21 @@ def _stars(sets: DataFrame, first: list[int], percent: int, buckets: int) -> Dat
         code = distinct((owner << 32 | pivot)[owner != pivot])
         ids = np.empty(len(records), np.int64)
         ids[place] = records["id"]
-        for k in range(0, len(code), 100_000):
-            part = code[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part >> 32]), pa.array(ids[part & 0xFFFFFFFF])], ["a", "b"])
+        table = np.empty(len(code), PAIR)
+        table["a"], table["b"] = ids[code >> 32], ids[code & 0xFFFFFFFF]
+        yield from dealt(table, (mix(table["a"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets)
+
+    def once(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = table[np.lexsort((table["b"], table["a"]))]
+        new = np.ones(len(table), bool)
+        new[1:] = table[1:] != table[:-1]
+        table = table[new]
+        for k in range(0, len(table), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[c][k : k + 100_000])) for c in ("a", "b")], ["a", "b"])
 
     packed = sets.select("set_id", "rank", "shingles").mapInArrow(send, SCHEMA)
-    return reduce_buckets(packed, buckets, meet, "a long, b long", OWNER).distinct()
+    met = reduce_buckets(packed, buckets, meet, RECORDS, OWNER)
+    return reduce_parts(met, buckets, PAIR, once, "a long, b long")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:

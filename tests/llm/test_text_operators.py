@@ -394,3 +394,16 @@ def test_repeated_labelled_ids_stay_bounded(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
     scored = quality.classify(frame(spark, rows), labels, F.lit(True)).collect()
     assert len(scored) == 300 and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_pairs_with_a_pivot_leave_a_task_once(spark):
+    """The pairs of near copies grow as their number, and no pair is a row of several buckets' tasks."""
+    base, counts = np.random.default_rng(4).integers(0, 2**62, 60), []
+    for n in (100, 400):
+        rows = [(k, k, sorted({*base.tolist()[:57], *range(3 * k, 3 * k + 3)})) for k in range(n)]
+        stars = jaccard._stars(spark.createDataFrame(rows, "set_id long, rank long, shingles array<long>"), jaccard.bands(75, 60), 75, 32)
+        assert "HashAggregate" not in stars._jdf.queryExecution().toString()
+        found = stars.collect()
+        counts.append(len(found))
+        assert len(found) == len(set(found)) and {r.a for r in found} == set(range(1, n))
+    assert counts[1] <= 5 * counts[0]
