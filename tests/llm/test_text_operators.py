@@ -407,3 +407,15 @@ def test_pairs_with_a_pivot_leave_a_task_once(spark):
         counts.append(len(found))
         assert len(found) == len(set(found)) and {r.a for r in found} == set(range(1, n))
     assert counts[1] <= 5 * counts[0]
+
+
+def test_short_earlier_texts_are_matched(spark):
+    """An earlier text of 48 words, which later passages of 51 words repeat but for 3 words between."""
+    rng, rows = random.Random(31), []
+    for k in range(8):
+        w = prose(rng, 48)
+        rows += [(k, " ".join(w)), (100 + k, " ".join([*prose(rng, 20), *w[:24], *prose(rng, 3), *w[24:], *prose(rng, 20)]))]
+    seq = {i: substrings.sequence(t.encode()) for i, t in rows}
+    want = {(b, a) for b in seq for a in seq if a < b and substrings.passages(seq[b], seq[a], 46, 75)}
+    assert want == {(100 + k, k) for k in range(8)}
+    assert {(r.doc_id, r.match_doc_id) for r in substrings.near_duplicate_passages(frame(spark, rows)).collect()} == want
