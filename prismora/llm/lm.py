@@ -30,9 +30,10 @@ ADD, SHORTER, ORDER = 0.1, 4.0, 3
 BLOCK_BYTES = 8 << 20
 #: The hash of the token that ends a text.
 END = np.uint64(0xE0DE0DE0DE0DE0DE)
-#: Bytes of a key that travel within its bucket: 40 bits tell a bucket's n-grams apart, of which one in 2^40 over the bucket's n-grams has another one's key.
+#: Bytes of a longer n-gram's key that travel within its bucket: 40 bits tell a bucket's n-grams apart, of which one in 2^40 over the bucket's n-grams has another one's key.
+#: Single words travel apart from them and with all bits: exact counts, N and V rest on them.
 KEY_BYTES = 5
-REQUESTS = "bucket int, block int, n int, keys binary, counts binary, single binary"
+REQUESTS = "bucket int, block int, words int, longer int, word_keys binary, longer_keys binary, counts binary"
 ANSWERS = "block int, bucket int, counts binary, total long, kinds long"
 
 
@@ -63,20 +64,28 @@ class Block:
             ends = np.full(len(hashes), -1, np.int64)
             ends[own] = number
             self.levels.append(Level(keys, ends, np.bincount(number[learned[own]], minlength=len(keys))))
-        self.keys = np.concatenate([level.keys for level in self.levels])
-        bucket = (self.keys % np.uint64(buckets)).astype(np.int64)
-        self.by = np.lexsort((self.keys // np.uint64(buckets) % np.uint64(1 << 8 * KEY_BYTES), bucket))
-        self.buckets = np.searchsorted(bucket[self.by], np.arange(buckets + 1))
-
-
-def _sent(keys: np.ndarray, buckets: int) -> bytes:
+        keys = np.concatenate([level.keys for level in self.levels])
+        words = len(self.levels[0].keys)
+        self.within = keys // np.uint64(buckets)
+        self.within[words:] &= np.uint64((1 << 8 * KEY_BYTES) - 1)
+        group = 2 * (keys % np.uint64(buckets)).astype(np.int64)
+        group[words:] += 1
+        self.by = np.lexsort((self.within, group))  # by bucket, in each the words first
+        self.groups = np.searchsorted(group[self.by], np.arange(2 * buckets + 1))
+
+    def part(self, bucket: int) -> tuple[np.ndarray, int]:
+        """The n-grams of a bucket in the order of its request, and how many of them are words."""
+        a, words, z = self.groups[2 * bucket : 2 * bucket + 3].tolist()
+        return self.by[a:z], words - a
+
+
+def _sent(within: np.ndarray) -> bytes:
     """Byte planes of the gaps between sorted keys, as many as the largest gap needs."""
-    if not len(keys):
+    if not len(within):
         return b""
-    within = keys // np.uint64(buckets) & np.uint64((1 << 8 * KEY_BYTES) - 1)
     gaps = np.diff(within, prepend=np.uint64(0))
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(len(keys), 8).T[:width]).tobytes()
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(len(within), 8).T[:width]).tobytes()
 
 
 def _got(data: bytes, n: int) -> np.ndarray:
@@ -101,6 +110,13 @@ def _widen(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sum of each distinct key's counts, and for each list of keys the sums in its order."""
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
+    return sums, np.split(sums[which], np.cumsum([len(k) for k in keys])[:-1])
+
+
 def _in_order(table: pa.Table) -> pa.Table:
     """A block's texts in an order that doesn't depend on how they came."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -114,15 +130,12 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
         at = None
 
         def done() -> Iterator[pa.RecordBatch]:
-            distinct, which = np.unique(np.concatenate([_got(k, n) for _, n, k, _, _ in held]), return_inverse=True)
-            counts = np.concatenate([_widen(c, n) for _, n, _, c, _ in held])
-            summed = np.bincount(which, counts, len(distinct)).astype(np.int64)
-            single = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n).astype(bool) for _, n, _, _, s in held if n] or [np.zeros(0, bool)])
-            words = np.unique(which[single])
-            total, kinds = int(summed[words].sum()), int((summed[words] > 0).sum())
-            ends = np.cumsum([n for _, n, *_ in held]).tolist()
-            for (block, n, *_), end in zip(held, ends):
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at], pa.int32()), pa.array([_narrow(summed[which[end - n : end]])], pa.binary()), pa.array([total]), pa.array([kinds])], ["block", "bucket", "counts", "total", "kinds"])
+            counts = [_widen(c, w + n) for _, w, n, *_, c in held]
+            words, of_words = _summed([_got(k, w) for _, w, _, k, *_ in held], [c[:w] for (_, w, *_), c in zip(held, counts)])
+            _, of_longer = _summed([_got(k, n) for _, _, n, _, k, _ in held], [c[w:] for (_, w, *_), c in zip(held, counts)])
+            total, kinds = int(words.sum()), int((words > 0).sum())
+            for (block, *_), *both in zip(held, of_words, of_longer):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at], pa.int32()), pa.array([_narrow(np.concatenate(both))], pa.binary()), pa.array([total]), pa.array([kinds])], ["block", "bucket", "counts", "total", "kinds"])
             held.clear()
 
         for batch in batches:
@@ -138,7 +151,7 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
 
 
 class Automaton:
-    """The part of the model that a block's texts can reach, as arrays over its n-grams: whether there is an arc, the arc's weight, and the failure weight of the state that an n-gram is as a context."""
+    """The part of the model that a block's texts can reach, as arrays over its n-grams: whether there is an arc, the arc's weight, and the failure weight of the state that an n-gram is as a context. The last entry, which -1 finds, is that of no n-gram: a block of short texts may have none."""
 
     def __init__(self, block: Block, counts: np.ndarray, total: int, kinds: int) -> None:
         self.block, self.order = block, len(block.levels)
@@ -155,9 +168,9 @@ class Automaton:
                 last[level.ends[has]] = has
                 before = self.counts[n - 2][block.levels[n - 2].ends[last - 1]]
                 p = (c + SHORTER * shorter[block.levels[n - 2].ends[last]]) / (before + SHORTER)
-            self.arc.append(c > 0 if n > 1 else np.ones(len(c), bool))
-            self.weight.append(np.log10(p))
-            self.failure.append(np.log10(SHORTER / (c + SHORTER)))
+            self.arc.append(np.append(c > 0 if n > 1 else np.ones(len(c), bool), False))
+            self.weight.append(np.append(np.log10(p), 0.0))
+            self.failure.append(np.append(np.log10(SHORTER / (c + SHORTER)), 0.0))
             shorter = p
 
     def score(self, a: int, z: int) -> float:
@@ -197,13 +210,13 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         table = _in_order(table)
         block = Block(blobs(table.column("text").combine_chunks()), table.column("trained").to_numpy(), order, buckets)
-        single = np.arange(len(block.keys)) < len(block.levels[0].keys)
         counts = np.concatenate([level.trained for level in block.levels])
         rows = []
         for k in range(buckets):  # empty ones, too: the answer brings the bucket's totals
-            part = block.by[block.buckets[k] : block.buckets[k + 1]]
-            rows.append((k, key[0].as_py(), len(part), _sent(block.keys[part], buckets), _narrow(counts[part]), np.packbits(single[part]).tobytes()))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            part, words = block.part(k)
+            within = block.within[part]
+            rows.append((k, key[0].as_py(), words, len(part) - words, _sent(within[:words]), _sent(within[words:]), _narrow(counts[part])))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in REQUESTS.split(", ")])
 
     answers = _answers(dealt.groupBy("block").applyInArrow(ask, REQUESTS), buckets)
@@ -212,9 +225,9 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         table = _in_order(table)
         trained = table.column("trained").to_numpy()
         block = Block(blobs(table.column("text").combine_chunks()), trained, order, buckets)
-        counts = np.zeros(len(block.keys), np.int64)
+        counts = np.zeros(len(block.by), np.int64)
         for bucket, data in zip(got.column("bucket").to_pylist(), got.column("counts").to_pylist()):
-            part = block.by[block.buckets[bucket] : block.buckets[bucket + 1]]
+            part, _ = block.part(bucket)
             counts[part] = _widen(data, len(part))
         total, kinds = sum(got.column("total").to_pylist()), sum(got.column("kinds").to_pylist())
         machine = Automaton(block, counts, total, kinds)

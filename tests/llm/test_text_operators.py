@@ -133,6 +133,22 @@ def test_lm_of_empty_and_untrained_tables(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and abs(r.base_score) < 1e-9
 
 
+def test_lm_of_texts_too_short_for_longer_ngrams(spark):
+    rows = [(1, None), (2, ""), (3, "a"), (4, "a")]
+    got = lm.score_texts(frame(spark, rows), F.col("doc_id") != 4).collect()
+    assert sorted(r[:5] for r in got) == [(1, True, 1, 1, 4), (2, True, 1, 1, 4), (3, True, 2, 2, 4), (4, False, 2, 2, 4)]
+    assert {r.doc_id: round(r.base_score, 9) for r in got}[4] == round(math.log10(1.1 / 4.3) + math.log10(3.1 / 4.3), 9)
+
+
+def test_lm_counts_words_apart_from_those_of_equal_short_keys(spark):
+    """The keys of these two words, and of this word and this pair, agree in their last 42 bits: 40 within one of 4 buckets."""
+    rows = [(1, "w1913584"), (2, "w3661768 and"), (3, "w95361 w1245818")]
+    got = lm.score_texts(frame(spark, rows), F.col("doc_id") < 3)
+    assert sorted((r.doc_id, r.n_known, r.train_tokens) for r in got.collect()) == [(1, 2, 5), (2, 3, 5), (3, 1, 5)]
+    got = lm.score_texts(frame(spark, rows), F.lit(True))
+    assert {r.train_tokens for r in got.collect()} == {8}
+
+
 def test_window_centres_are_the_nodes_of_the_tree():
     rng = np.random.default_rng(0)
     for m in (46, 47, 200):
